@@ -1,0 +1,6 @@
+"""The library's own registered queries, and the same in SQL."""
+
+from __future__ import annotations
+
+QUERIES: dict = {}
+ORACLE: dict = {}
