@@ -2,10 +2,31 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from docsieve.llm import bpe, simhash
+from docsieve.llm import bpe, mixing, oracle, recipes, secrets, simhash, urls
 from docsieve.session import table
+from docsieve.shared import shared_dir
+
+
+def op2_secrets(spark, sf_dir):
+    """With a new ledger, so that all blobs are unseen."""
+    out = secrets.scan_documents(table(spark, sf_dir, "documents"), f"{shared_dir(spark)}/docsieve-{uuid.uuid4().hex}-ledger")
+    base = secrets.listed("spans", secrets.KINDS[:3])
+    n = {f"n_{k}": secrets.counted("spans", k) for k in secrets.KINDS[:3]}
+    return out.select("doc_id", *(c.alias(k) for k, c in n.items()), F.sha2(base, 256).alias("base_sha256"), secrets.listed("spans").alias("spans"))
+
+
+def op3_exact_dedup(spark, sf_dir):
+    return recipes.exact_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op5_mixing(spark, sf_dir):
+    out = mixing.mix(table(spark, sf_dir, "documents"))
+    size = F.col("_size")
+    return out.select("doc_id", size.alias("size"), "source_size", "target", (size * F.col("times")).alias("taken"))
 
 
 def op7_simhash(spark, sf_dir):
@@ -13,9 +34,13 @@ def op7_simhash(spark, sf_dir):
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op8_url_filter(spark, sf_dir):
+    return urls.judge(table(spark, sf_dir, "pages")).drop("score")
+
+
 def op9_byte_bpe(spark, sf_dir):
     return bpe.digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op7_simhash, op9_byte_bpe)}
-ORACLE: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op2_secrets, op3_exact_dedup, op5_mixing, op7_simhash, op8_url_filter, op9_byte_bpe)}
+ORACLE = oracle.ORACLE
