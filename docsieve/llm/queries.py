@@ -6,11 +6,18 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from docsieve.llm import bpe, mixing, oracle, recipes, secrets, simhash, urls
+from docsieve.llm import bpe, labelled, mixing, oracle, quality, recipes, secrets, simhash, toxicity, urls
 from docsieve.session import table
 from docsieve.shared import shared_dir
 
 
+def op1_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    scored = toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+    held = F.coalesce(labelled.fold() == 0, F.lit(False))
+    return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op2_secrets(spark, sf_dir):
     """With a new ledger, so that all blobs are unseen."""
     out = secrets.scan_documents(table(spark, sf_dir, "documents"), f"{shared_dir(spark)}/docsieve-{uuid.uuid4().hex}-ledger")
@@ -29,6 +36,10 @@ def op5_mixing(spark, sf_dir):
     return out.select("doc_id", size.alias("size"), "source_size", "target", (size * F.col("times")).alias("taken"))
 
 
+def op6_quality(spark, sf_dir):
+    return quality.select(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_simhash(spark, sf_dir):
     out = simhash.near_duplicates(table(spark, sf_dir, "documents"), distance=2, width=3)
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -42,5 +53,5 @@ def op9_byte_bpe(spark, sf_dir):
     return bpe.digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_secrets, op3_exact_dedup, op5_mixing, op7_simhash, op8_url_filter, op9_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_secrets, op3_exact_dedup, op5_mixing, op6_quality, op7_simhash, op8_url_filter, op9_byte_bpe)}
 ORACLE = oracle.ORACLE
