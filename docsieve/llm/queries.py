@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from docsieve.llm import bpe, labelled, mixing, oracle, quality, recipes, secrets, simhash, toxicity, urls
+from docsieve.llm import bpe, labelled, lineruns, mixing, oracle, quality, recipes, secrets, simhash, toxicity, urls
 from docsieve.session import table
 from docsieve.shared import shared_dir
 
@@ -53,5 +53,12 @@ def op9_byte_bpe(spark, sf_dir):
     return bpe.digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_secrets, op3_exact_dedup, op5_mixing, op6_quality, op7_simhash, op8_url_filter, op9_byte_bpe)}
+def op10_line_dedup(spark, sf_dir):
+    out = lineruns.dedup_lines(table(spark, sf_dir, "documents"))
+    runs = F.array_join(F.transform("_runs", lambda r: F.concat_ws("-", r["a"].cast("string"), r["b"].cast("string"))), ",")
+    n = F.aggregate("_runs", F.lit(0), lambda s, r: s + r["b"] - r["a"] + 1)
+    return out.select("doc_id", F.coalesce(n, F.lit(0)).cast("long").alias("n_cut"), F.coalesce(runs, F.lit("")).alias("runs"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_secrets, op3_exact_dedup, op5_mixing, op6_quality, op7_simhash, op8_url_filter, op9_byte_bpe, op10_line_dedup)}
 ORACLE = oracle.ORACLE
