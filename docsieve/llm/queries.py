@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from docsieve.llm import bpe, labelled, lineruns, mixing, oracle, quality, recipes, secrets, simhash, toxicity, urls
+from docsieve.llm import bpe, chroma, labelled, lineruns, mixing, oracle, quality, recipes, secrets, simhash, toxicity, urls
 from docsieve.session import table
 from docsieve.shared import shared_dir
 
@@ -30,6 +30,12 @@ def op3_exact_dedup(spark, sf_dir):
     return recipes.exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_chroma(spark, sf_dir):
+    """No table has audio: every vector of embeddings is played, a note for each component."""
+    prints = chroma.fingerprints(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", chroma.played)
+    return chroma.align(prints, "vec_id")
+
+
 def op5_mixing(spark, sf_dir):
     out = mixing.mix(table(spark, sf_dir, "documents"))
     size = F.col("_size")
@@ -60,5 +66,5 @@ def op10_line_dedup(spark, sf_dir):
     return out.select("doc_id", F.coalesce(n, F.lit(0)).cast("long").alias("n_cut"), F.coalesce(runs, F.lit("")).alias("runs"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_secrets, op3_exact_dedup, op5_mixing, op6_quality, op7_simhash, op8_url_filter, op9_byte_bpe, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_secrets, op3_exact_dedup, op4_chroma, op5_mixing, op6_quality, op7_simhash, op8_url_filter, op9_byte_bpe, op10_line_dedup)}
 ORACLE = oracle.ORACLE
