@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -14,15 +14,16 @@ _WORD = r"[^\x20\x09-\x0D]"
 _PLACE = ["d", "t", "seq"]
 
 
-def _keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """docs with d, the key as a long (null: least of all), and t, the text's hash: rows equal in both are one document."""
-    return docs.withColumns({"d": F.coalesce(F.col(key).cast("long"), F.lit(-(2**63))), "t": F.xxhash64(F.col(text).cast("string"))})
+def _keyed(key: str, text: str) -> tuple[Column, Column]:
+    """The key as a long (null: least of all) and the text's hash: rows equal in both are one document."""
+    return F.coalesce(F.col(key).cast("long"), F.lit(-(2**63))), F.xxhash64(F.col(text).cast("string"))
 
 
 def lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(d, t, seq, words, h1, h2): the lines that have words, numbered within their document, by a digest of 128 bits."""
     found = F.expr(f"filter(split(_text, '\\n'), x -> x rlike r'{_WORD}')")
-    each = _keyed(docs, key, text).select("d", "t", F.col(text).cast("string").alias("_text")).select("d", "t", F.posexplode(found).alias("seq", "line"))
+    d, t = _keyed(key, text)
+    each = docs.select(d.alias("d"), t.alias("t"), F.col(text).cast("string").alias("_text")).select("d", "t", F.posexplode(found).alias("seq", "line"))
     words = F.regexp_count("line", F.lit(f"{_WORD}+"))
     return each.select("d", "t", "seq", words.alias("words"), F.xxhash64("line").alias("h1"), F.xxhash64(F.lit("line"), "line").alias("h2"))
 
@@ -99,7 +100,7 @@ def later_copies(docs: DataFrame, least_words: int = LEAST_WORDS, key: str = "do
 
 _KEPT = (
     "transform(array(split({text}, '\\n')), l -> transform(array(filter(sequence(0, size(l) - 1), i -> l[i] rlike r'" + _WORD + "')), p -> "
-    "array_join(flatten(transform(arrays_zip(concat(array(0), transform(runs, x -> p[x.b] + 1)), concat(transform(runs, x -> p[x.a]), array(size(l)))), "
+    "array_join(flatten(transform(arrays_zip(concat(array(0), transform(_runs, x -> p[x.b] + 1)), concat(transform(_runs, x -> p[x.a]), array(size(l)))), "
     "z -> slice(l, z['0'] + 1, greatest(0, z['1'] - z['0'])))), '\\n'))[0])[0]"
 )
 
@@ -110,9 +111,11 @@ def dedup_lines(docs: DataFrame, least_words: int = LEAST_WORDS, key: str = "doc
     Lines are what newlines part, compared exactly; those without a word never count and go with a run around them. The first
     copy is that of the least key (null before all), in it the first place. Every line that is cut is still there in an
     earlier place. Rows that share key and text are treated alike, as one. Texts without a cut, null and empty ones stay as
-    they are; a text may become empty. Whole texts move once, to meet their cuts.
+    they are; a text may become empty. Whole texts move once, to meet their cuts. Names of docs that start with _runs are taken.
     """
     cuts = cut(later_copies(docs, least_words, key, text), "cuts")
-    out = _keyed(docs, key, text).join(cuts.hint("shuffle_hash"), ["d", "t"], "left").drop("d", "t")
-    kept = F.when(F.col("runs").isNull(), F.col(text)).otherwise(F.expr(_KEPT.format(text=f"`{text}`")))
-    return out.withColumn(text, kept).withColumnRenamed("runs", "_runs")
+    own = ["_runs_d", "_runs_t"]
+    cuts = cuts.toDF(*own, "_runs").hint("shuffle_hash")
+    out = docs.withColumns(dict(zip(own, _keyed(key, text), strict=True))).join(cuts, own, "left").drop(*own)
+    kept = F.when(F.col("_runs").isNull(), F.col(text)).otherwise(F.expr(_KEPT.format(text=f"`{text}`")))
+    return out.withColumn(text, kept)

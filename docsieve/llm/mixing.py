@@ -18,13 +18,13 @@ def word_count(text: str = "text") -> Column:
     return F.coalesce(F.regexp_count(F.col(text).cast("string"), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
-def _tagged(docs: DataFrame, seed: str, key: str, source: str, text: str) -> DataFrame:
-    """docs with _size, _key (the source, null and all, as a string that isn't null) and _h."""
-    return docs.withColumns({
+def _tags(seed: str, key: str, source: str, text: str) -> dict[str, Column]:
+    """_size, _key (the source, null and all, as a string that isn't null) and _h."""
+    return {
         "_size": word_count(text),
         "_key": F.coalesce(F.concat(F.lit("s"), F.col(source).cast("string")), F.lit("n")),
         "_h": F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(key).cast("string"), F.lit("null")))), 1, DIGITS * LEVELS),
-    })
+    }
 
 
 def targets(sizes: DataFrame, weights: tuple = (5, 2, 1), most: int = 3) -> DataFrame:
@@ -74,22 +74,27 @@ def thresholds(tagged: DataFrame, plan: DataFrame) -> DataFrame:
 
 
 def mix(docs: DataFrame, weights: tuple = (5, 2, 1), most: int = 3, seed: str = "mix", key: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
-    """docs with _size, source_size, target and times: how often the mix takes the whole document, 0 to most.
+    """docs with _mix, a struct: size, source_size, target and times, how often the mix takes the whole document, 0 to most.
 
     Only (source, hash, size) is written and summed; the text is read twice and never shuffled, nor is anything sorted by
     document. Reruns agree, as hashes come from the key. Null sources are one source; null or empty texts have size 0; rows
-    with one key are taken alike; an empty table gives none.
+    with one key are taken alike; an empty table gives none. Names of docs that start with _mix are taken.
     """
-    tagged = _tagged(docs, seed, key, source, text)
-    slim = cut(tagged.select("_key", "_h", "_size"), "sizes")
+    tag = _tags(seed, key, source, text)
+    slim = cut(docs.select(*(c.alias(n) for n, c in tag.items())), "sizes")
     sizes = cut(slim.groupBy("_key").agg(F.sum("_size").alias("source_size")), "sources")
     plan = cut(thresholds(slim, cut(targets(sizes, weights, most), "targets")), "plan")
-    out = sized_join(tagged, plan, "_key", max_rows=SOURCE_ROWS)
-    extra = F.coalesce((F.col("_h") < F.col("at")) | ((F.col("_h") == F.col("at")) & F.col("also")), F.lit(False)).cast("long")
-    times = F.least(F.col("whole") + F.when(F.col("rest") > 0, extra).otherwise(0), F.lit(most))
-    return out.withColumn("times", times.cast("long")).drop("_key", "_h", "whole", "rest", "at", "also")
+    plan = cut(plan.select(F.col("_key").alias("_mix_key"), F.struct("source_size", "target", "whole", "rest", "at", "also").alias("_mix_plan")), "plan")
+    out = docs.withColumns({"_mix_key": tag["_key"], "_mix_h": tag["_h"], "_mix_size": tag["_size"]})
+    out = sized_join(out, plan, "_mix_key", max_rows=SOURCE_ROWS)
+    h, p = F.col("_mix_h"), F.col("_mix_plan")
+    extra = F.coalesce((h < p["at"]) | ((h == p["at"]) & p["also"]), F.lit(False)).cast("long")
+    times = F.least(p["whole"] + F.when(p["rest"] > 0, extra).otherwise(0), F.lit(most)).cast("long")
+    own = F.struct(F.col("_mix_size").alias("size"), p["source_size"].alias("source_size"), p["target"].alias("target"), times.alias("times"))
+    return out.withColumn("_mix", own).select(*docs.columns, "_mix")
 
 
 def mixed_rows(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: each document as often as it is taken."""
-    return mix(docs, **options).withColumn("_copy", F.explode(F.expr("if(times > 0, sequence(1, cast(times as int)), cast(array() as array<int>))"))).select(docs.columns)
+    copies = F.expr("if(_mix.times > 0, sequence(1, cast(_mix.times as int)), cast(array() as array<int>))")
+    return mix(docs, **options).withColumn("_mix_copy", F.explode(copies)).select(docs.columns)

@@ -38,8 +38,7 @@ def op4_chroma(spark, sf_dir):
 
 def op5_mixing(spark, sf_dir):
     out = mixing.mix(table(spark, sf_dir, "documents"))
-    size = F.col("_size")
-    return out.select("doc_id", size.alias("size"), "source_size", "target", (size * F.col("times")).alias("taken"))
+    return out.select("doc_id", "_mix.size", "_mix.source_size", "_mix.target", F.expr("_mix.size * _mix.times").alias("taken"))
 
 
 def op6_quality(spark, sf_dir):

@@ -103,9 +103,12 @@ class BlobLedger:
         found.withColumn("rules", F.lit(rules)).write.mode("append").parquet(self.path)
 
     def findings(self, versions: DataFrame, text: str = "text", rules: str = RULES) -> DataFrame:
-        """versions with blob and spans, an empty list where nothing was found. Only blobs with findings are joined back."""
+        """versions with blob and spans (in place of columns so named), an empty list where nothing was found; the text goes.
+
+        Only blobs with findings are joined back.
+        """
         hits = self.rows(rules).where(F.size("spans") > 0).select("blob", "spans").dropDuplicates(["blob"])
-        out = addressed(versions, text).drop("_raw").join(hits, "blob", "left")
+        out = addressed(versions.drop("spans"), text).drop("_raw").join(hits, "blob", "left")
         return out.withColumn("spans", F.coalesce("spans", F.expr(f"cast(array() as {_SPAN})")))
 
 
