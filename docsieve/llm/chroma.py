@@ -133,7 +133,7 @@ def bit_error(a: str, b: str, offset: str) -> str:
     return f"aggregate(zip_with(slice({a}, {x} + 1, {n}), slice({b}, {y} + 1, {n}), (p, q) -> bit_count(p ^ q)), 0, (s, c) -> s + c) / (32D * {n})"
 
 
-def align(prints: DataFrame, key: str, every: int = 50, least_overlap: int = 8, most_error: float = 0.2) -> DataFrame:
+def align(prints: DataFrame, key: str, every: int = 50, least_overlap: int = 16, most_error: float = 0.2) -> DataFrame:
     """A row for each recording (key, class_id, n, match and what follows null), then one for each match of a query class.
 
     Recordings of one print are a class, named by its least key. Queries are the classes with a key divisible by every; they

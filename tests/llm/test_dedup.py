@@ -33,7 +33,7 @@ def test_chunks_are_found_again_after_an_insertion(spark):
     text = " ".join(rnd.choice(["bed", "kern", "non", "word", "hot", "been"]) for _ in range(20000))
     df = spark.createDataFrame([(1, text), (2, "new words in front of it " + text)], "doc_id long, text string")
     a, b = (set(map(bytes, r.recipe)) for r in recipes.recipes(df).collect())
-    assert len(a & b) > 0.9 * len(a)
+    assert len(a & b) > 0.8 * len(a)
 
 
 def brute_fingerprint(text):

@@ -35,8 +35,8 @@ SECRETS = [
 ]
 
 
-def test_secrets_match_sql_and_are_scanned_once(spark, docs, tmp_path, monkeypatch):
-    rows = SECRETS + ODD
+def test_secrets_match_sql_and_are_scanned_once(spark, docs):
+    rows = SECRETS + [(i and i + 100, t) for i, t in ODD]
     df = docs(rows)
     path = f"{shared_dir(spark)}/ledger-{random.random()}"
     out = secrets.scan_documents(df, path)
@@ -52,7 +52,7 @@ def test_secrets_match_sql_and_are_scanned_once(spark, docs, tmp_path, monkeypat
     assert ledger.rows("another").count() == len({t for _, t in SECRETS})
     assert secrets.scan_documents(docs([]), path + "x").count() == 0
     found = {r.doc_id: [(s.kind, s.start, s.stop) for s in r.spans] for r in out.collect()}
-    assert found[4] == [("assign", 13 + 12, 44)] or found[4][0][0] == "assign"
+    assert [k for k, _, _ in found[4]] == ["assign"] and found[3][0] == ("hex", 0, 24)
     assert found[1] == found[7] and [k for k, _, _ in found[6]] == ["github", "pem"]
 
 
