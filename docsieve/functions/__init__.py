@@ -1 +1 @@
-"""functions."""
+"""Column functions and their plain-Python counterparts for single strings."""

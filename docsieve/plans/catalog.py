@@ -2,5 +2,519 @@
 
 from __future__ import annotations
 
+import re
+
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from docsieve.functions import parse
+from docsieve.functions.text import STEM_STAGES, STOP_WORDS, rounded, slugify, tokenize
+from docsieve.operators import audit, citations, consolidate, ledger, masking, search, vectors
+from docsieve.operators import index as ix
+from docsieve.plans import corpus
+from docsieve.session import table
+from docsieve.shared import cut
+from docsieve.sources import extract, transcripts as logs
+from docsieve.streaming import watch
+
 QUERIES: dict = {}
-ORACLE: dict = {}
+ORACLE: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _lit(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+def _tokens_sql(source: str, key: str, text: str) -> str:
+    """CTEs ending in tok (key, term) and post (key, term, tf, len)."""
+    stages, prev = [], "w0"
+    for i, (name, sql) in enumerate(STEM_STAGES):
+        stages.append(f"w{i + 1} as (select *, {re.sub(r'RX[(]', 'regexp_matches(', sql)} {name} from {prev})")
+        prev = f"w{i + 1}"
+    stop = ", ".join(map(_lit, sorted(STOP_WORDS)))
+    return rf"""base as (select {key} k, lower(coalesce({text}, '')) lo from {source}), low as (select k, lo, regexp_replace(lo, '[`*_>#\[\]()~|]', ' ', 'g') cl from base),
+w0 as (select k, w from (select k, unnest(regexp_split_to_array(cl, '[^a-z0-9]+')) w from low) where length(w) > 1 and length(w) < 40 and w not in ({stop})), {', '.join(stages)},
+comp as (select k, unnest(regexp_extract_all(cl, '[a-z0-9]+(?:-[a-z0-9]+)+')) term from low), num as (select k, unnest(regexp_extract_all(lo, '(\d+(?:\.\d+)+)((?:\([a-z0-9]+\))*)')) m from low),
+nums as (select k, unnest(case when regexp_replace(m, '[()]', '', 'g') = regexp_extract(m, '^[0-9.]+') then [regexp_extract(m, '^[0-9.]+')] else [regexp_extract(m, '^[0-9.]+'), regexp_replace(m, '[()]', '', 'g')] end) term from num),
+tok as (select k, term from {prev} union all select k, term from comp where regexp_matches(term, '[0-9]') and length(term) > 3 and length(term) < 40 union all select k, term from nums where length(term) < 40),
+tfs as materialized (select k, term, count(*) tf from tok group by k, term), post as materialized (select *, sum(tf) over (partition by k)::bigint len from tfs),
+dfs as (select term, count(*) df from post group by term), st as (select (select count(*) from {source}) n, (select coalesce(sum(tf), 0) from post) / greatest((select count(*) from {source}), 1)::double avg_len)"""
+
+
+_DOC = _tokens_sql("documents", "doc_id", "text")
+_NOTE = "with " + corpus.NOTES_SQL
+_BM = "ln(1 + (n - df + 0.5) / (df + 0.5))"
+QUERY = "onharent edoution licensed apache license version 2.0"
+
+
+def _scored_sql(words: list[str]) -> str:
+    return f"""sc as (select k, sum({_BM} * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / avg_len))) bm, count(*) m, sum({_BM}) mi from post join dfs using (term), st where term in ({', '.join(map(_lit, words))}) group by k)"""
+
+
+@query(f"with {_DOC} select k doc_id, term, tf, len from post")
+def token_postings(spark, d):
+    return corpus.postings(spark, d)
+
+
+@query(f"with {_DOC} select term, df from dfs")
+def term_df(spark, d):
+    return corpus.postings(spark, d).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+
+
+@query(f"with {_DOC} select n, floor(avg_len * 1000 + 0.5) / 1000 avg_len, (select count(*) from dfs) terms from st")
+def corpus_stats(spark, d):
+    _, terms, stats = corpus.lexical(spark, d)
+    return stats.select("n", rounded(F.col("avg_len"), 3).alias("avg_len"), terms.agg(F.count(F.lit(1))).scalar().alias("terms"))
+
+
+@query(f"with {_DOC} select k doc_id, term, tf from post where contains(term, '-') or contains(term, '.')")
+def compound_and_section_tokens(spark, d):
+    return corpus.postings(spark, d).where(F.col("term").contains("-") | F.col("term").contains(".")).select("doc_id", "term", "tf")
+
+
+@query(f"with {_DOC}, {_scored_sql(list(dict.fromkeys(tokenize(QUERY))))} select k doc_id, m matched, floor(bm * 1000 + 0.5) / 1000 score from sc order by floor(bm * 1e6 + 0.5) desc, k limit 10")
+def bm25_topk(spark, d):
+    post, terms, stats = corpus.lexical(spark, d)
+    found = search.lexical(post, terms, stats, tokenize(QUERY), "doc_id")
+    return found.orderBy(F.desc(F.floor(F.col("bm") * 1e6 + 0.5)), "doc_id").limit(10).select("doc_id", F.col("m").alias("matched"), rounded(F.col("bm"), 3).alias("score"))
+
+
+_CHUNK = f"with {corpus.NOTES_SQL}, src as (select doc_id, concat_ws(' ', title, '', text) t from notes), {_tokens_sql('src', 'doc_id', 't')}"
+
+
+def _boost_sql(q: str, now: int | None = None, sem: bool = False) -> str:
+    """ran (doc_id, rel, first, m, mi, score): the boosted and phrase-boosted ranking of the notes."""
+    words = list(dict.fromkeys(tokenize(q)))
+    some = " or ".join(f"contains(lower(title), {_lit(w)})" for w in words)
+    tag = " or ".join(f"contains(x, {_lit(w)})" for w in words)
+    recent = f" * (1 + 0.08 * greatest(0.0, 1 - ({now} - mtime_ms) / 86400000.0 / 90))" if now else ""
+    boost = f"(case when contains(lower(title), {_lit(q.lower())}) then 1.6 when {some} then 1.25 else 1.0 end) * (case when list_bool_or(list_transform(tags, lambda x: {tag})) then 1.15 else 1.0 end) * (1 + 0.15 * m / {len(words)}::double){recent} * (1 + 0.12 * ln(1 + inbound))"
+    phrase = "1.0"
+    for p in search.phrases(q):
+        phrase = f"least({phrase} * (case when contains(lower(text), {_lit(p)}) then 1.8 else 1.0 end), 2.5)"
+    cand = f"cand as (select doc_id, rel, text, m, mi, bm * {boost} as first, null::double sem from sc join full_notes on doc_id = k)"
+    if sem:
+        cand = f"""bmx as (select doc_id, rel, text, coalesce(m, 0) m, coalesce(mi, 0) mi, coalesce(bm, 0) * {boost.replace(' m /', ' coalesce(m, 0) /')} b, greatest(0.0, cos) sem from full_notes left join sc on doc_id = k join sem using (doc_id)),
+cand as (select doc_id, rel, text, m, mi, sem, 0.55 * (case when (select max(b) from bmx) > 0 then b / (select max(b) from bmx) else 0 end) + 0.45 * sem as first from bmx where m > 0 or sem >= 0.5)"""
+    return f"""{_scored_sql(words)}, {cand}, top as (select doc_id from cand order by first desc, doc_id limit 150),
+ran as (select cand.*, first * (case when doc_id in (select doc_id from top) then {phrase} else 1.0 end) score from cand)"""
+
+
+_SHOWN = "select doc_id, m matched, floor(score * 1000 + 0.5) / 1000 score from ran order by floor(score * 1e6 + 0.5) desc, doc_id limit 20"
+
+
+def _top(ranked, k=20):
+    return ranked.orderBy(F.desc(F.floor(F.col("score") * 1e6 + 0.5)), "chunk_id").limit(k).select(F.col("chunk_id").alias("doc_id"), F.col("m").alias("matched"), rounded(F.col("score"), 3).alias("score"))
+
+
+@query(f"{_CHUNK}, {_boost_sql('onharent en edoution')} {_SHOWN}")
+def bm25_boosted(spark, d):
+    return _top(search.ranked(corpus.index(spark, d), "onharent en edoution"))
+
+
+NOW = corpus.BASE_MS + 900 * corpus.DAY_MS
+
+
+@query(f"{_CHUNK}, {_boost_sql('edoution', NOW)} {_SHOWN}")
+def bm25_recency(spark, d):
+    return _top(search.ranked(corpus.index(spark, d), "edoution", now_ms=NOW))
+
+
+@query(f"{_CHUNK}, {_boost_sql('the license version of apache')} {_SHOWN}")
+def phrase_boost(spark, d):
+    return _top(search.ranked(corpus.index(spark, d), "the license version of apache"))
+
+
+@query(f"{_CHUNK}, {_boost_sql('license version')}, cap as (select *, row_number() over (partition by split_part(rel, '/', 1) order by floor(score * 1e6 + 0.5) desc, doc_id) r from ran) select doc_id, m matched, floor(score * 1000 + 0.5) / 1000 score from cap where r <= 2 order by floor(score * 1e6 + 0.5) desc, doc_id limit 8")
+def search_per_note_cap(spark, d):
+    """The cap by source here, as each note has one chunk."""
+    rows = search.ranked(corpus.index(spark, d), "license version").withColumn("rel", F.substring_index("rel", "/", 1))
+    return search.capped(rows, 2, 8, [F.desc(F.floor(F.col("score") * 1e6 + 0.5)), F.asc("chunk_id")]).select(F.col("chunk_id").alias("doc_id"), F.col("m").alias("matched"), rounded(F.col("score"), 3).alias("score"))
+
+
+_GATE = ("onharent edoution", "zenith corporation balfour", "license zenith balfour reactor")
+
+
+@query("with " + _DOC + ", " + "q(qid, term) as (values " + ", ".join(f"({i}, {_lit(t)})" for i, q in enumerate(_GATE) for t in dict.fromkeys(tokenize(q))) + f""" ), tot as (select qid, sum(ln(1 + (n - coalesce(df, 0) + 0.5) / (coalesce(df, 0) + 0.5))) total from q left join dfs using (term), st group by qid),
+sc as (select qid, k, sum({_BM} * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / avg_len))) bm, sum({_BM}) mi from q join post using (term) join dfs using (term), st group by qid, k),
+best as (select qid, mi from (select *, row_number() over (partition by qid order by floor(bm * 1e6 + 0.5) desc, k) r from sc) where r = 1),
+s as (select qid, floor(least(1, greatest(0, coalesce(mi, 0) / total)) * 100 + 0.5) / 100 confidence, mi is null nothing from tot left join best using (qid)) select qid, confidence, nothing or confidence < 0.28 as weak from s""")
+def search_confidence_gate(spark, d):
+    """Confidence of three questions at once: the idf share of the best text, 0 where there is none."""
+    post, terms, stats = corpus.lexical(spark, d)
+    q = spark.createDataFrame([(i, t) for i, x in enumerate(_GATE) for t in dict.fromkeys(tokenize(x))], "qid int, term string")
+    n, avg = stats.select("n").scalar(), stats.select("avg_len").scalar()
+    total = q.join(terms, "term", "left").fillna({"df": 0}).withColumn("i", search.idf(F.col("df"), n)).groupBy("qid").agg(F.sum("i").alias("total"))
+    hit = post.join(F.broadcast(q), "term").join(terms, "term").withColumn("i", search.idf(F.col("df"), n))
+    scored = hit.groupBy("qid", "doc_id").agg(F.sum(F.col("i") * search.bm25(F.col("tf"), F.col("len"), avg)).alias("bm"), F.sum("i").alias("mi"))
+    first = scored.withColumn("r", F.row_number().over(W.partitionBy("qid").orderBy(F.desc(F.floor(F.col("bm") * 1e6 + 0.5)), "doc_id"))).where("r = 1")
+    share = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.coalesce("mi", F.lit(0.0)) / F.col("total")))
+    out = total.join(first.select("qid", "mi"), "qid", "left").withColumn("confidence", rounded(share, 2))
+    return out.select("qid", "confidence", (F.col("mi").isNull() | (F.col("confidence") < search.GATE)).alias("weak"))
+
+
+_COS = "list_dot_product(list_transform(a, lambda x: x::double), list_transform(b, lambda x: x::double)) / (sqrt(list_dot_product(list_transform(a, lambda x: x::double), list_transform(a, lambda x: x::double))) * sqrt(list_dot_product(list_transform(b, lambda x: x::double), list_transform(b, lambda x: x::double))))"
+
+
+def _query_vector(spark, d):
+    return table(spark, d, "embeddings").where("vec_id = 0").agg(F.first("embedding").alias("v")).first()["v"]
+
+
+@query(f"{_CHUNK}, sem as (select doc_id, {_COS} cos from (select n.doc_id, e.embedding a, z.embedding b from notes n join embeddings e on e.vec_id = n.doc_id % 500, (select embedding from embeddings where vec_id = 0) z)), {_boost_sql('edoution', sem=True)} {_SHOWN}")
+def hybrid_blend(spark, d):
+    q = F.array(*(F.lit(float(x)) for x in _query_vector(spark, d)))
+    vec = table(spark, d, "embeddings").where("vec_id < 500").select("vec_id", vectors.cosine(F.col("embedding"), q).alias("sem"))
+    sem = table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), (F.col("doc_id") % 500).alias("vec_id")).join(vec, "vec_id").select("chunk_id", "sem")
+    return _top(search.ranked(corpus.index(spark, d), "edoution", sem))
+
+
+@query(f"select vec_id, floor(c * 1e6 + 0.5) / 1e6 score from (select vec_id, {_COS} c from (select e.vec_id, e.embedding a, z.embedding b from embeddings e, (select embedding from embeddings where vec_id = 0) z)) order by c desc, vec_id limit 10")
+def cosine_topk(spark, d):
+    return vectors.top_cosine(table(spark, d, "embeddings"), _query_vector(spark, d), 10).select("vec_id", rounded(F.col("score"), 6).alias("score"))
+
+
+_PAIRS = f"pairs as (select i, j, li, lj, {_COS} sim from (select x.vec_id i, y.vec_id j, x.label li, y.label lj, x.embedding a, y.embedding b from embeddings x join embeddings y on x.vec_id < y.vec_id) where sim >= 0.3)"
+
+
+@query(f"with {_PAIRS} select i, j, floor(sim * 1e6 + 0.5) / 1e6 sim from pairs")
+def similar_pairs_exact(spark, d):
+    return vectors.exact_pairs(table(spark, d, "embeddings"), 0.3).select("i", "j", rounded(F.col("sim"), 6).alias("sim"))
+
+
+@query(f"with {_PAIRS} select la, lb, i, j, floor(sim * 1e6 + 0.5) / 1e6 sim from (select least(li, lj) la, greatest(li, lj) lb, i, j, sim, row_number() over (partition by least(li, lj), greatest(li, lj) order by floor(sim * 1e6 + 0.5) desc, i, j) r from pairs where li <> lj) where r = 1")
+def best_pair_per_label(spark, d):
+    e = table(spark, d, "embeddings")
+    found = vectors.exact_pairs(e, 0.3, group="label")
+    label = lambda c, n: e.select(F.col("vec_id").alias(c), F.col("label").alias(n))
+    both = found.join(label("i", "li"), "i").join(label("j", "lj"), "j").withColumns({"la": F.least("li", "lj"), "lb": F.greatest("li", "lj"), "sim": rounded(F.col("sim"), 6)})
+    return both.withColumn("r", F.row_number().over(W.partitionBy("la", "lb").orderBy(F.desc("sim"), "i", "j"))).where("r = 1").select("la", "lb", "i", "j", "sim")
+
+
+@query()
+def lsh_candidates(spark, d):
+    return vectors.VectorIndex(64, 8, 12, 7).pairs(table(spark, d, "embeddings"), 0.3)
+
+
+@query()
+def lsh_recall_vs_exact(spark, d):
+    e = table(spark, d, "embeddings")
+    return vectors.recall(cut(vectors.VectorIndex(64, 4, 24, 7).pairs(e, 0.45), "lsh"), cut(vectors.exact_pairs(e, 0.45), "exact"))
+
+
+@query(_NOTE + " select lower(title) title, list_sort(list(rel)) notes from full_notes group by 1 having count(*) > 1")
+def duplicate_titles(spark, d):
+    return audit.duplicate_titles(corpus.full_notes(corpus.notes(spark, d))[0])
+
+
+@query("select sha256(coalesce(text, '')) content_hash, count(*) n, min(doc_id) first_id from documents group by 1 having count(*) > 1")
+def exact_duplicates(spark, d):
+    return table(spark, d, "documents").groupBy(F.sha2(F.coalesce("text", F.lit("")), 256).alias("content_hash")).agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_id")).where("n > 1")
+
+
+_AUDIT = {
+    "orphans": "select rel note, title from full_notes where inbound = 0 and len(outlinks) = 0",
+    "broken_links": "select src as \"from\", link from links where lower(link) not in (select key from keys)",
+    "stale": f"select rel note, title, floor(({NOW} - mtime_ms) / 86400000.0 + 0.5)::bigint age_days, open_tasks from full_notes where {NOW} - mtime_ms > 15552000000 and (has_markers or open_tasks > 0)",
+    "stubs": "select rel note, title, word_count words from full_notes where stub",
+    "untagged": "select rel note, title from full_notes where len(tags) = 0",
+}
+_KEYED = "items as (" + " union all ".join(f"select '{k}' kind, {'\"from\" || chr(45) || chr(62) || link' if k == 'broken_links' else 'note'} item_key from ({s})" for k, s in _AUDIT.items()) + " union all select 'duplicate_titles', 'title:' || lower(title) from full_notes group by lower(title) having count(*) > 1)"
+_COUNTS = "counts as (select k kind, (select count(*) from items where items.kind = k) n from (values ('orphans'), ('broken_links'), ('stale'), ('duplicate_titles'), ('stubs'), ('untagged')) v(k))"
+
+
+def _audit(kind):
+    def run(spark, d):
+        notes, names = corpus.full_notes(corpus.notes(spark, d))
+        return audit.findings(notes, names, NOW)[kind]
+
+    run.__name__ = f"audit_{kind}"
+    return run
+
+
+for _k, _s in _AUDIT.items():
+    query(f"{_NOTE} {_s}")(_audit(_k))
+
+
+@query(_NOTE + " select rel note, inbound from full_notes")
+def audit_inbound(spark, d):
+    return corpus.full_notes(corpus.notes(spark, d))[0].select(F.col("rel").alias("note"), F.col("inbound"))
+
+
+@query(f"{_NOTE}, {_KEYED}, {_COUNTS} select kind, n from counts")
+def audit_counts(spark, d):
+    notes, names = corpus.full_notes(corpus.notes(spark, d))
+    return audit.counts(audit.findings(cut(notes, "notes"), cut(names, "names"), NOW))
+
+
+_SCORE = "sco as (select least(24, 6 * max(n) filter (kind = 'broken_links'))::int p_broken_links, least(16, 4 * max(n) filter (kind = 'stale'))::int p_stale, (case when (select avg((len(tags) = 0)::int) > 0.3 and avg(has_frontmatter::int) < 0.7 from full_notes) then 0 else least(12, 2 * max(n) filter (kind = 'orphans')) end)::int p_orphans, least(9, 3 * max(n) filter (kind = 'duplicate_titles'))::int p_duplicate_titles, 0 p_contradictions from counts), scg as (select *, greatest(0, 100 - p_broken_links - p_stale - p_orphans - p_duplicate_titles - p_contradictions) integrity_score from sco)"
+
+
+@query(f"{_NOTE}, {_KEYED}, {_COUNTS}, {_SCORE} select *, case when integrity_score >= 90 then 'A' when integrity_score >= 80 then 'B' when integrity_score >= 70 then 'C' when integrity_score >= 60 then 'D' else 'F' end grade from scg")
+def integrity_score(spark, d):
+    notes, names = corpus.full_notes(corpus.notes(spark, d))
+    notes = cut(notes, "notes")
+    return audit.scored(audit.counts(audit.findings(notes, cut(names, "names"), NOW)), audit.raw_archive(notes))
+
+
+@query("select source in ('src0', 'src1') controlled, count(*) n from documents group by 1")
+def controlled_coverage(spark, d):
+    return corpus.notes(spark, d).groupBy("controlled").agg(F.count(F.lit(1)).alias("n"))
+
+
+_SNAP = "a as (select kind, item_key from items where length(item_key) % 3 <> 0), b as (select kind, item_key from items where length(item_key) % 3 <> 1)"
+
+
+def _snapshots(spark, d):
+    notes, names = corpus.full_notes(corpus.notes(spark, d))
+    items = cut(audit.item_keys(audit.findings(cut(notes, "notes"), cut(names, "names"), NOW)), "items")
+    n = F.length("item_key") % 3
+    return items.where(n != 0), items.where(n != 1)
+
+
+@query(f"{_NOTE}, {_KEYED}, {_SNAP} select 'new' as change, * from b anti join a using (kind, item_key)")
+def surveillance_new(spark, d):
+    return audit.drift(*_snapshots(spark, d)).where("change = 'new'")
+
+
+@query(f"{_NOTE}, {_KEYED}, {_SNAP} select 'resolved' as change, * from a anti join b using (kind, item_key)")
+def surveillance_resolved(spark, d):
+    return audit.drift(*_snapshots(spark, d)).where("change = 'resolved'")
+
+
+@query(f"{_NOTE}, {_KEYED}, {_SNAP} select case kind when 'stale' then 'low' else 'medium' end severity, case kind when 'stale' then 'newly_stale' else 'new_broken_link' end as type, 'vault' source, item_key detail from b anti join a using (kind, item_key) where kind in ('stale', 'broken_links') union all select 'medium', 'score_drop', 'vault', '88 -> 73'")
+def surveillance_events(spark, d):
+    return audit.events(audit.drift(*_snapshots(spark, d)), 88, 73, "vault")
+
+
+def _chains(spark, d):
+    """A ledger for each user: that user's events, sealed one on another in their order."""
+    from docsieve.functions.canonical import canonical_json
+    from docsieve.operators.ledger import GENESIS, seal
+
+    def chain(pdf):
+        import pandas as pd
+
+        prev, out = GENESIS, []
+        for i, r in enumerate(pdf.sort_values("event_id").itertuples()):
+            payload = {"event": int(r.event_id), "user": int(r.user_id)}
+            out.append((int(r.user_id), i, i, "", r.event_type, prev, canonical_json(payload), seal(i, prev, r.event_type, payload)))
+            prev = out[-1][-1]
+        return pd.DataFrame(out, columns=["user_id", "line_no", "seq", "ts", "kind", "prev_hash", "payload", "entry_hash"])
+
+    return table(spark, d, "events").select("user_id", "event_id", "event_type").groupBy("user_id").applyInPandas(chain, f"user_id bigint, line_no int, {ledger.ENTRY}")
+
+
+@query("with n as (select user_id, count(*) n, user_id % 5 = 0 and count(*) > 1 bad from events group by 1) select user_id, not bad ok, n as count, case when bad then 1 end broken_at, case when bad then 'entry_hash mismatch' end reason from n")
+def ledger_chain_verify(spark, d):
+    """Every fifth user's second entry is tampered with."""
+    hit = (F.col("user_id") % 5 == 0) & (F.col("seq") == 1)
+    chains = _chains(spark, d).withColumn("payload", F.when(hit, F.lit("{}")).otherwise(F.col("payload")))
+    return ledger.verify(chains, by=["user_id"]).select("user_id", "ok", "count", F.col("broken_at").cast("int").alias("broken_at"), "reason")
+
+
+@query("select event_type kind, count(*) n from events group by 1")
+def ledger_kind_counts(spark, d):
+    return ledger.kind_counts(table(spark, d, "events").withColumnRenamed("event_type", "kind"))
+
+
+ANSWERS = (
+    (1, "It is so [1]. And so [2, 4]. Also [1-3]."),
+    (2, "Nothing is cited here. Not once! Is it?"),
+    (3, "Reversed [5-2]. Wide [1-999999999]. Fine [3]."),
+    (4, "A year [2024] and a note [note 1]. Dashes [2–3] [4−5]."),
+    (5, ""),
+    (6, "Not in your vault."),
+)
+_ANSWERS_SQL = "ans(answer_id, answer) as (values " + ", ".join(f"({i}, {_lit(a)})" for i, a in ANSWERS) + ")"
+_CITED_SQL = rf"""{_ANSWERS_SQL}, grp as (select answer_id, unnest(regexp_extract_all(answer, '\[([0-9][0-9\s,]*(?:[-‐‑‒–—−][0-9\s,]*)?)\]', 1)) g from ans),
+part as (select answer_id, trim(unnest(string_split(g, ','))) p from grp), rng as (select answer_id, p, regexp_extract(p, '^([0-9]+)\s*[-‐‑‒–—−]\s*([0-9]+)$', 1) lo, regexp_extract(p, '^([0-9]+)\s*[-‐‑‒–—−]\s*([0-9]+)$', 2) hi from part),
+one as (select answer_id, unnest(case when lo = '' then case when regexp_matches(p, '^[0-9]+$') then [p::bigint] else [] end when lo::bigint <= hi::bigint and hi::bigint - lo::bigint < 64 then range(lo::bigint, hi::bigint + 1) else [-1] end) n from rng), cit as (select distinct answer_id, n::bigint n from one)"""
+
+
+def _answers(spark):
+    return spark.createDataFrame(list(ANSWERS), "answer_id int, answer string")
+
+
+@query(f"with {_CITED_SQL} select answer_id, coalesce(list_sort(list(n) filter (n is not null)), []) cited from ans left join cit using (answer_id) group by answer_id")
+def citation_parse(spark, d):
+    return _answers(spark).select("answer_id", citations.cited_column(F.col("answer")).alias("cited"))
+
+
+@query(f"with {_CITED_SQL} select answer_id, n, n between 1 and 4 known from cit")
+def citation_valid_dangling(spark, d):
+    contexts = _answers(spark).select("answer_id", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(4).cast("long"))).alias("n"))
+    return citations.resolved(citation_parse(spark, d), contexts)
+
+
+@query(rf"with {_ANSWERS_SQL}, s as (select answer_id, unnest(string_split(regexp_replace(answer, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1))) s from ans) select answer_id, count(*) filter (trim(s) <> '' and len(regexp_extract_all(s, '\[([0-9][0-9\s,]*(?:[-‐‑‒–—−][0-9\s,]*)?)\]', 1)) = 0)::int uncited from s group by answer_id")
+def uncited_sentences(spark, d):
+    return _answers(spark).select("answer_id", citations.uncited_column(F.col("answer")).alias("uncited"))
+
+
+@query(f"with {_CITED_SQL}, k as (select answer_id, answer, count(n) filter (n between 1 and 4) v, count(n) filter (not n between 1 and 4) x from ans left join cit using (answer_id) group by answer_id, answer) select answer_id, case when regexp_matches(answer, '^Not in your vault.?$') then 'REFUSED_UNGROUNDED' when v >= 1 and x = 0 then 'GROUNDED' else 'REFUSED_CITATION_CHECK' end verdict from k")
+def verdicts(spark, d):
+    rows = _answers(spark).withColumn("cited", citations.cited_column(F.col("answer")))
+    ok = F.size(F.filter("cited", lambda n: n.between(1, 4)))
+    return rows.select("answer_id", citations.verdict_column(F.col("answer").rlike("^Not in your vault.?$"), ok, F.size("cited") - ok).alias("verdict"))
+
+
+@query(r"""with f as (select item_id fact_id, text quote, item_id % (select max(doc_id) + 1 from documents) passage from benchmark), h as (select b.item_id, min(d.doc_id) p from benchmark b join documents d on contains(d.text, b.text) group by 1),
+g as (select fact_id, quote, coalesce(p, passage) passage from f left join h on item_id = fact_id), n as (select fact_id, passage, lower(trim(regexp_replace(quote, '\s+', ' ', 'g'))) q, lower(trim(regexp_replace(d.text, '\s+', ' ', 'g'))) t from g left join documents d on d.doc_id = passage)
+select fact_id, passage, case when t is null then 'no such passage' when length(q) < 12 then 'quote too short' when not contains(t, q) then 'quote not in passage' end reason from n""")
+def fact_verification(spark, d):
+    """Benchmark passages as quotes, each from the first document that has it, or from a document that hasn't."""
+    docs, bench = table(spark, d, "documents").where("text is not null"), table(spark, d, "benchmark")
+    probe = F.broadcast(bench.select("item_id", F.col("text").alias("quote")))  # a table of fixed size: 200 items at most
+    home = docs.join(probe, F.col("text").contains(F.col("quote"))).groupBy("item_id").agg(F.min("doc_id").alias("p"))
+    other = F.col("item_id") % (docs.agg(F.max("doc_id")).scalar() + 1)
+    facts = bench.join(home, "item_id", "left").select(F.col("item_id").alias("fact_id"), F.col("text").alias("quote"), F.coalesce("p", other).alias("passage"))
+    return consolidate.verified_column(facts, docs.select(F.col("doc_id").alias("passage"), "text")).select("fact_id", "passage", "reason")
+
+
+_ENT = "Stteen"
+_COLL = rf"""h as (select doc_id, 0 side, unnest(regexp_extract_all(text, '\b{_ENT}\s+([A-Z][a-zA-Z]{{2,}})', 1)) word from documents union all select doc_id, 1, unnest(regexp_extract_all(text, '\b([A-Z][a-zA-Z]{{2,}})\s+{_ENT}\b', 1)) from documents),
+c as (select word, count(*) n, list_sort(list(distinct doc_id)) chunk_ids from h where word not in ({', '.join(map(_lit, sorted(consolidate.STOP_COLLOCATES)))}) group by word)"""
+
+
+@query(f"with {_COLL} select word, n, chunk_ids from c")
+def collocations(spark, d):
+    chunks = table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
+    return consolidate.collocations(chunks, _ENT).select("word", "n", "chunk_ids")
+
+
+@query(f"with {_COLL}, f as (select distinct word from h where side = 0) select word, n from c where n >= 3 and regexp_matches(word, '^[A-Z][a-z]+$') and word in (select word from f)")
+def name_evidence(spark, d):
+    """Words that follow the entity, in TitleCase, three times or more in all."""
+    found = consolidate.collocations(table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "text"), _ENT)
+    return found.where((F.col("n") >= 3) & F.col("word").rlike("^[A-Z][a-z]+$") & F.col("phrase").startswith(_ENT)).select("word", "n")
+
+
+_A40 = "A1b2C3d4E5" * 4
+LEAKS = (
+    (1, f"sk-{_A40} and ghp_{_A40} in one line"),
+    (2, "AKIA" + "ABCD1234EFGH5678" + " then plain words"),
+    (3, "postgres://user:s3cretpass@host/db"),
+    (4, "MY_API_KEY = 'abc123def456' and OTHER_TOKEN=process.env.TOKEN1x"),
+    (5, f"Authorization: Bearer {_A40}"),
+    (6, "token: x and password = none at all, hash 0123456789abcdef"),
+    (7, "xai-" + _A40 + " hf_" + _A40[:32] + " npm_" + _A40[:36]),
+)
+_ALIKE = (("sk-key", r"\bsk-[A-Za-z0-9_-]{20,}"), ("github", r"\bghp_[A-Za-z0-9]{30,}"), ("aws", r"\bAKIA[A-Z0-9]{16}\b"), ("huggingface", r"\bhf_[A-Za-z0-9]{30,}"), ("xai", r"\bxai-[A-Za-z0-9]{40,}"), ("npm", r"\bnpm_[A-Za-z0-9]{36}\b"))
+
+
+def _masked_sql() -> str:
+    out = "text"
+    for _, p in _ALIKE:
+        head = {"\\bsk-": "(sk-[A-Za-z0-9_-])", "\\bghp": "(ghp_)", "\\bAKI": "(AKIA)", "\\bhf_": "(hf_[A-Za-z0-9])", "\\bxai": "(xai-)", "\\bnpm": "(npm_)"}[p[:5]]
+        out = f"regexp_replace({out}, '\\b{head}{p[p.index('['):].replace('{20,}', '{19,}').replace('[A-Za-z0-9]{30,}', '[A-Za-z0-9]{29,}') if head.endswith('])') else p[p.index('['):]}', '\\1{masking.MASK}', 'g')"
+    out = rf"regexp_replace({out}, '(\b[a-z][a-z0-9+.-]*://[^\s:/@]+:[^\s:/@]{{4}})[^\s:/@]{{2,}}@', '\1{masking.MASK}@', 'g')"
+    out = rf"regexp_replace({out}, '(\bMY_API_KEY = .abc1)[a-z0-9]+', '\1{masking.MASK}', 'g')"
+    return rf"regexp_replace({out}, '(\bBearer\s+[A-Za-z0-9]{{4}})[A-Za-z0-9]{{16,}}', '\1{masking.MASK}', 'g')"
+
+
+_LEAKS_SQL = "leaks(id, text) as (values " + ", ".join(f"({i}, {_lit(t)})" for i, t in LEAKS) + "), src as (select id, text from leaks union all select doc_id, text from documents where text is not null)"
+
+
+@query(f"with {_LEAKS_SQL} select id, sha256({_masked_sql()}) masked_sha256 from src")
+def mask_secrets(spark, d):
+    """All documents, and strings of each shape, as none of the shapes is in the documents."""
+    leaks = spark.createDataFrame(list(LEAKS), "id long, text string").unionByName(table(spark, d, "documents").where("text is not null").select(F.col("doc_id").alias("id"), "text"))
+    return leaks.select("id", F.sha2(masking.masked(F.col("text")), 256).alias("masked_sha256"))
+
+
+@query(f"with {_LEAKS_SQL}, c as (" + " union all ".join(f"select '{k}' kind, sum(len(regexp_extract_all(text, '{p}')))::bigint n from src" for k, p in (*_ALIKE, ("url-password", r"\b[a-z][a-z0-9+.-]*://[^\s:/@]+:[^\s:/@]{6,}@"), ("env-assign", r"\bMY_API_KEY = .abc[a-z0-9]+"), ("bearer", r"\bBearer\s+[A-Za-z0-9]{20,}"))) + ") select kind, n from c where n > 0")
+def mask_counts_by_kind(spark, d):
+    rows = spark.createDataFrame([(t,) for _, t in LEAKS], "text string").unionByName(table(spark, d, "documents").where("text is not null").select("text"))
+    return masking.mask_counts(rows)
+
+
+@query("select conv_id, count(*)::int n_turns, sha256(string_agg('**' || role || ':** ' || text, chr(10) || chr(10) order by turn, role, text)) body_sha256 from conversations where trim(text) <> '' group by conv_id")
+def transcripts(spark, d):
+    return logs.transcripts(table(spark, d, "conversations"), "conv_id", ["turn"]).select("conv_id", "n_turns", F.sha2("body", 256).alias("body_sha256"))
+
+
+@query("select event_id, strftime(ts, '%Y-%m-%d') date from events where strftime(ts, '%Y-%m-%d') >= (select strftime(max(ts) - interval 2 day, '%Y-%m-%d') from events)")
+def since_filter(spark, d):
+    rows = table(spark, d, "events").select("event_id", "ts")
+    day = rows.agg(F.date_format(F.max("ts") - F.expr("interval 2 days"), "yyyy-MM-dd").alias("d")).scalar()
+    return logs.since(rows.select("event_id", F.date_format("ts", "yyyy-MM-dd").alias("date")), day)
+
+
+def _duck_html() -> str:
+    out = "html"
+    nl = "' || chr(10) || '"
+    for a, b in ((r"(?s)<!--.*?-->", ""), (r"(?is)<script\b.*?</script>", ""), (r"(?is)<style\b.*?</style>", ""), (r"(?is)</(p|h[1-6]|li|ul|ol|tr|div|title)>|<br\s*/?>", nl), (r"(?s)<[^>]+>", ""), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&nbsp;", " "), ("&amp;", "&"), (r"[ \t]+", " "), (r" ?\n[ \n]*", nl), (r"^[ \n]+|[ \n]+$", "")):
+        out = f"regexp_replace({out}, '{a}', '{b}', 'g')"
+    return out
+
+
+@query(f"select page_id, sha256({_duck_html()}) text_sha256, length({_duck_html()}) n_chars from pages")
+def html_to_text(spark, d):
+    text = table(spark, d, "pages").select("page_id", F.expr(extract.html_text("html")).alias("t"))
+    return text.select("page_id", F.sha2("t", 256).alias("text_sha256"), F.length("t").cast("long").alias("n_chars"))
+
+
+@query("select page_id, unnest(list_distinct(regexp_extract_all(html, '<a [^>]*href=\"([^\"]*)\"', 1))) href from pages")
+def page_links(spark, d):
+    return table(spark, d, "pages").select("page_id", F.explode(F.array_distinct(F.regexp_extract_all("html", F.lit('<a [^>]*href="([^"]*)"'), F.lit(1)))).alias("href"))
+
+
+@query("select page_id, regexp_extract(html, '(?s)<title>(.*?)</title>', 1) title, regexp_extract(html, '(?s)<h1[^>]*>(.*?)</h1>', 1) h1 from pages")
+def page_headings(spark, d):
+    return table(spark, d, "pages").select("page_id", F.regexp_extract("html", "(?s)<title>(.*?)</title>", 1).alias("title"), F.regexp_extract("html", "(?s)<h1[^>]*>(.*?)</h1>", 1).alias("h1"))
+
+
+@query("with k as (select doc_id, sha1('m1 ' || substr(coalesce(text, ''), 1, 2000)) as key from documents) select distinct key from k where key not in (select key from k where doc_id % 3 = 0)")
+def embedding_cache_misses(spark, d):
+    """Texts whose key isn't in a store that has every third document."""
+    keys = table(spark, d, "documents").select("doc_id", vectors.embedding_key("m1", F.substring(F.coalesce("text", F.lit("")), 1, 2000)).alias("key"))
+    return keys.select("key").distinct().join(keys.where("doc_id % 3 = 0").select("key"), "key", "left_anti")
+
+
+@query("select doc_id id, sha256(coalesce(text, '') || case when doc_id % 10 = 0 then '!' else '' end) content_hash from documents where doc_id % 10 = 0 or doc_id % 4 = 0")
+def content_changed(spark, d):
+    """Documents that are new (every fourth) or edited (every tenth) against an earlier version."""
+    from docsieve.sources.vault import changed
+
+    hashed = lambda c: F.sha2(c, 256).alias("content_hash")
+    docs = table(spark, d, "documents").withColumn("t", F.coalesce("text", F.lit("")))
+    old = docs.where("doc_id % 4 <> 0").select(F.col("doc_id").alias("id"), hashed(F.col("t")))
+    return changed(old, docs.select(F.col("doc_id").alias("id"), hashed(F.concat("t", F.when(F.col("doc_id") % 10 == 0, "!").otherwise("")))))
+
+
+@query()
+def heading_chunks(spark, d):
+    """Transcripts under a heading for each turn, chunked by heading."""
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))), lambda t: F.concat(F.lit("# "), t["role"], F.lit(" "), t["turn"].cast("string"), F.lit("\n"), t["text"])), "\n")
+    return parse.chunks(table(spark, d, "conversations").groupBy("conv_id").agg(body.alias("body")))
+
+
+@query()
+def split_long(spark, d):
+    return parse.chunks(table(spark, d, "documents").select("doc_id", F.col("text").alias("body"))).select("doc_id", "pos", F.length("text").alias("n_chars"))
+
+
+@query("select doc_id, coalesce(nullif(substr(regexp_replace(regexp_replace(lower(coalesce(text, '')), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 60), ''), 'entity') slug from documents")
+def slugs(spark, d):
+    return table(spark, d, "documents").select("doc_id", slugify(F.coalesce("text", F.lit(""))).alias("slug"))
+
+
+@query("select time_bucket(interval 1 hour, ts) start, event_type, count(*) n, floor(sum(value) * 100 + 0.5) / 100 total from events group by 1, 2")
+def events_tumbling(spark, d):
+    """A Spark extra: no event-time windows are asked for."""
+    return watch.tumbling(table(spark, d, "events")).select(F.col("window.start").cast("timestamp_ntz").alias("start"), "event_type", "n", rounded(F.col("total"), 2).alias("total"))
+
+
+@query("with g as (select user_id, ts, case when ts - lag(ts) over (partition by user_id order by ts) < interval 30 minute then 0 else 1 end s from events), k as (select user_id, ts, sum(s) over (partition by user_id order by ts rows unbounded preceding) i from g) select user_id, min(ts) start, count(*) n from k group by user_id, i")
+def events_session(spark, d):
+    return watch.sessions(table(spark, d, "events")).select("user_id", F.col("w.start").cast("timestamp_ntz").alias("start"), "n")

@@ -1 +1 @@
-"""sources."""
+"""Readers that turn files, exports and services into records."""
