@@ -7,6 +7,7 @@ import json
 import math
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def _number(x: float) -> str:
@@ -38,7 +39,7 @@ def sha256(text: str) -> str:
 
 
 #: A JSON string in, its canonical form out; null for what isn't JSON.
-@F.udf("string", useArrow=True)
+@F.udf(T.StringType(), useArrow=True)
 def canonical(text):
     try:
         return canonical_json(json.loads(text))

@@ -14,6 +14,7 @@ from xml.etree import ElementTree as ET
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 BINARY = (".docx", ".pptx", ".xlsx", ".pdf", ".rtf")
 TIMEOUT_MS = 30_000
@@ -265,7 +266,7 @@ def storage_to_text(xhtml: str | None) -> str:
 
 
 #: storage_to_text over a column.
-storage_text = F.udf(storage_to_text, "string", useArrow=True)
+storage_text = F.udf(storage_to_text, T.StringType(), useArrow=True)
 
 
 def html_text(page: str) -> str:
