@@ -64,19 +64,18 @@ class Ordinal:
         return self.grades[0] + self.tails(scores) @ np.diff(self.grades).astype(float)
 
 
-def fit(rows: list[dict[int, float]], ratings: list[int], rounds: int = 300, rate: float = 0.3, decay: float = 1e-4) -> Ordinal:
+def fit(who: np.ndarray, at: np.ndarray, x: np.ndarray, ratings: np.ndarray, rounds: int = 300, rate: float = 0.3, decay: float = 1e-4) -> Ordinal:
     """By Adam on the mean negative log-likelihood; thresholds rise as their steps are exponentials.
 
-    Fewer than two grades: no thresholds, and every text is expected to have the one grade (0 if none).
+    Text who[i] has the value x[i] of feature at[i]. Fewer than two grades: no thresholds, and every text is expected to have
+    the one grade (0 if none).
     """
-    grades = sorted(set(ratings))
+    grades = sorted({int(g) for g in ratings})
     if len(grades) < 2:
         return Ordinal(grades or [0], np.zeros(BUCKETS + FIXED), np.zeros(0))
     y = np.searchsorted(grades, ratings)
-    who = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    at = np.fromiter((b for r in rows for b in r), np.int64, len(who))
     used, at = np.unique(at, return_inverse=True)
-    x = np.fromiter((v for r in rows for v in r.values()), float, len(who))
+    x, count = x.astype(float), len(ratings)
     k = len(grades) - 1
     share = np.clip([np.mean(y <= i) for i in range(k)], 1e-3, 1 - 1e-3)
     first = np.log(share / (1 - share))
@@ -84,11 +83,11 @@ def fit(rows: list[dict[int, float]], ratings: list[int], rounds: int = 300, rat
     m, v = np.zeros_like(p), np.zeros_like(p)
     for t in range(1, rounds + 1):
         w, cuts = p[: len(used)], p[len(used)] + np.concatenate([[0], np.cumsum(np.exp(p[len(used) + 1 :]))])
-        s = np.bincount(who, x * w[at], len(rows))
+        s = np.bincount(who, x * w[at], count)
         edge = np.concatenate([[np.inf], -cuts, [-np.inf]])
         up, low = (1 / (1 + np.exp(-np.clip(s + edge[y + i], -40, 40))) for i in (0, 1))
         gap = np.maximum(up - low, 1e-12)
-        du, dl = up * (1 - up) / gap / len(rows), low * (1 - low) / gap / len(rows)
+        du, dl = up * (1 - up) / gap / count, low * (1 - low) / gap / count
         to_cut = np.bincount(y, du, k + 1)[1:] - np.bincount(y, dl, k + 1)[:-1]
         steps = np.cumsum(to_cut[::-1])[::-1]
         grad = np.concatenate([np.bincount(at, x * (dl - du)[who], len(used)) + decay * w, [steps[0]], steps[1:] * np.exp(p[len(used) + 1 :])])
@@ -109,7 +108,13 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str =
 
     sample = with_label(docs, labels, label, key, text, "inner", most).orderBy(F.xxhash64(key), key).limit(most)
     got = sample.select("_text", "_label").mapInArrow(run, "b array<int>, v array<float>, y int").toArrow()
-    return fit([dict(zip(b, v, strict=True)) for b, v in zip(got["b"].to_pylist(), got["v"].to_pylist(), strict=True)], got["y"].to_pylist())
+    flat, y = got.combine_chunks(), got["y"].to_numpy()
+    lists = [c for name in ("b", "v") for c in flat[name].chunks]
+    if not len(y):
+        return fit(np.empty(0, int), np.empty(0, int), np.empty(0), y)
+    sizes = np.concatenate([np.diff(c.offsets.to_numpy()) for c in flat["b"].chunks])
+    at, x = (np.concatenate([c.flatten().to_numpy(zero_copy_only=False) for c in half]) for half in (lists[: len(lists) // 2], lists[len(lists) // 2 :]))
+    return fit(np.repeat(np.arange(len(y)), sizes), at, x, y)
 
 
 def score(docs: DataFrame, model: Ordinal, at_least: int | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:

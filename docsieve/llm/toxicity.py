@@ -21,8 +21,12 @@ DISCOUNT = 0.75
 CALIBRATION_ROWS = 20_000
 #: Characters over which the ratio is averaged: the worst stretch of each length counts beside the whole text's mean.
 WINDOWS = (8, 16, 48)
-#: Characters that are handled at once.
-_AT_ONCE = 4_000_000
+#: Characters that are laid out at once, and those that are looked up at once, which caches hold.
+_AT_ONCE, _BLOCK = 2_000_000, 1 << 16
+#: Distinct expressions that a task gathers before it adds them up.
+_PENDING = 4_000_000
+#: Two halves of a packed expression times these never leave a long.
+_LOW, _HIGH = 1_640_531_527, 1_181_783_497
 
 
 def _letters() -> np.ndarray:
@@ -74,28 +78,40 @@ def _chunks(batches: Iterator[pa.RecordBatch], columns: int) -> Iterator[tuple]:
         yield tuple(zip(*held, strict=True))
 
 
+def _runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values, sorted, and how often each is there."""
+    x = np.sort(x)
+    at = np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1]))) if len(x) else np.empty(0, np.int64)
+    return x[at], np.diff(np.append(at, len(x)))
+
+
+def _merged(parts: list) -> list:
+    """One (grams, toxic, plain) of several."""
+    grams, where = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+    return [(grams, *(np.bincount(where, np.concatenate([p[i] for p in parts]), len(grams)).astype(np.int64) for i in (1, 2)))]
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(g, toxic, plain) of (text, label): expressions of all texts, with their counts in labelled ones; once a task each."""
-    letters, grams, counts = _letters(), np.empty(0, np.int64), np.empty((0, 2), np.int64)
+    letters, parts = _letters(), []
     for texts, labels in _chunks(batches, 2):
-        codes, starts, ends = _lay(texts, letters, ORDER - 1)
-        packed = _packed(codes)
-        inside = np.zeros(len(codes) + 1, np.int64)
-        kind = np.array([0 if x is None else 1 + (x > 0) for x in labels])
-        # kind + 1 within a text, 0 in the gaps
-        np.add.at(inside, starts, kind + 1)
-        np.add.at(inside, ends, -(kind + 1))
-        mark = np.cumsum(inside[:-1])
-        packed, mark = packed[mark > 0], mark[mark > 0]
-        new, where = np.unique(packed, return_inverse=True)
-        both = np.stack([np.bincount(where, mark == 3, len(new)), np.bincount(where, mark == 2, len(new))], axis=1).astype(np.int64)
-        grams, where = np.unique(np.concatenate([grams, new]), return_inverse=True)
-        counts, old = np.zeros((len(grams), 2), np.int64), np.concatenate([counts, both])
-        for i in (0, 1):
-            counts[:, i] = np.bincount(where, old[:, i], len(grams)).astype(np.int64)
-    for at in range(0, len(grams), 200_000):
-        part = slice(at, at + 200_000)
-        yield pa.RecordBatch.from_arrays([pa.array(grams[part]), pa.array(counts[part, 0]), pa.array(counts[part, 1])], ["g", "toxic", "plain"])
+        for kind in (None, False, True):  # without a label, plain, toxic
+            some = [t for t, x in zip(texts, labels, strict=True) if (None if x is None else x > 0) is kind]
+            if not some:
+                continue
+            codes, starts, ends = _lay(some, letters, ORDER - 1)
+            inside = np.zeros(len(codes) + 1, np.int8)
+            inside[starts] += 1
+            inside[ends] -= 1
+            grams, n = _runs(_packed(codes)[np.cumsum(inside[:-1], dtype=np.int8) > 0])
+            none = np.zeros(len(grams), np.int64)
+            parts.append((grams, n if kind else none, n if kind is False else none))
+        if sum(len(p[0]) for p in parts) > _PENDING:
+            parts = _merged(parts)
+    for grams, toxic, plain in _merged(parts) if parts else []:
+        for at in range(0, len(grams), 200_000):
+            part = slice(at, at + 200_000)
+            yield pa.RecordBatch.from_arrays([pa.array(x[part]) for x in (grams, toxic, plain)], ["g", "toxic", "plain"])
 
 
 def expressions(rows: DataFrame) -> DataFrame:
@@ -105,20 +121,13 @@ def expressions(rows: DataFrame) -> DataFrame:
 
 
 def mixed(x: np.ndarray, bits: int) -> np.ndarray:
-    """XXH64 of longs, seed 42, as xxhash64() has it, to its lowest bits."""
-    p1, p2, p3, p4, p5 = (np.uint64(v) for v in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
-    turn = lambda v, n: (v << np.uint64(n)) | (v >> np.uint64(64 - n))
-    with np.errstate(over="ignore"):
-        k = turn(x.astype(np.int64).view(np.uint64) * p2, 31) * p1
-        h = turn((np.uint64(42) + p5 + np.uint64(8)) ^ k, 27) * p1 + p4
-        h = (h ^ (h >> np.uint64(33))) * p2
-        h = (h ^ (h >> np.uint64(29))) * p3
-        h ^= h >> np.uint64(32)
-    return (h & np.uint64((1 << bits) - 1)).astype(np.int64)
+    """The cell of packed expressions, as _cell() has it."""
+    return (((x & 0x3FFFFFFF) * _LOW + (x >> 30) * _HIGH) >> 29) & ((1 << bits) - 1)
 
 
 def _cell(g: Column, bits: int) -> Column:
-    return F.xxhash64(g).bitwiseAND(F.lit((1 << bits) - 1)).cast("int")
+    low, high = g.bitwiseAND(F.lit(0x3FFFFFFF).cast("long")), F.shiftright(g, 30)
+    return F.shiftright(low * F.lit(_LOW).cast("long") + high * F.lit(_HIGH).cast("long"), 29).bitwiseAND(F.lit((1 << bits) - 1).cast("long")).cast("int")
 
 
 def _tables(grams: DataFrame) -> DataFrame:
@@ -170,16 +179,21 @@ class Model:
         return out
 
     def ratios(self, packed: np.ndarray) -> np.ndarray:
-        """ln P(toxic) - ln P(plain) of each place's last character after those before it."""
-        p = np.full(len(packed), 1 / 4096)
-        for k in range(1, ORDER):
-            g = packed & ((1 << (BITS * k)) - 1)
-            own, total, types = self.shared[k]
-            at = mixed(g >> BITS, REST)
-            p = np.where(total[at] > 0, (np.maximum(own[mixed(g, REST)] - DISCOUNT, 0) + DISCOUNT * types[at] * p) / np.maximum(total[at], 1), p)
-        g, at = mixed(packed, TOP), mixed(packed >> BITS, REST)
-        by_class = [np.where(n[at] > 0, (np.maximum(top[g] - DISCOUNT, 0) + DISCOUNT * types[at] * p) / np.maximum(n[at], 1), p) for top, n, types in zip(self.top, self.total, self.types, strict=True)]
-        return np.log(np.maximum(by_class[0], 1e-12)) - np.log(np.maximum(by_class[1], 1e-12))
+        """ln P(toxic) - ln P(plain) of each place's last character after those before it. The first place has no context."""
+        out = np.zeros(len(packed))
+        for at in range(1, len(packed), _BLOCK):
+            part = packed[at - 1 : at + _BLOCK]
+            cells = {k: mixed(part & ((1 << (BITS * k)) - 1), REST) for k in range(ORDER)}
+            p = np.float32(1 / 4096)
+            for k in range(1, ORDER):
+                own, total, types = self.shared[k]
+                c = cells[k - 1][:-1]  # a place's context is what the place before it ends with
+                n = total[c]
+                p = np.where(n > 0, (np.maximum(own[cells[k][1:]] - DISCOUNT, 0) + DISCOUNT * types[c] * p) / np.maximum(n, 1), p)
+            g, c = mixed(part[1:], TOP), cells[ORDER - 1][:-1]
+            a, b = (np.where(n[c] > 0, (np.maximum(top[g] - DISCOUNT, 0) + DISCOUNT * types[c] * p) / np.maximum(n[c], 1), p) for top, n, types in zip(self.top, self.total, self.types, strict=True))
+            out[at : at + _BLOCK] = np.log(np.maximum(a, 1e-12) / np.maximum(b, 1e-12))
+        return out
 
     def features(self, texts: tuple, letters: np.ndarray) -> np.ndarray:
         """Of each text: mean ratio, the worst stretch of each window's length, ln(1 + length)."""

@@ -33,14 +33,19 @@ def rule_of(host: Column, path: Column, rules: tuple = RULES) -> tuple[Column, C
     return name, verdict
 
 
-def _grams() -> str:
-    """SQL for an array, a struct for each character of url: its bucket by context length, and the context's own bucket."""
-    codes = f"concat(array_repeat(0L, {ORDER}), transform(if(length(url) > 0, sequence(1, length(url)), cast(array() as array<int>)), i -> cast(ascii(substr(url, i, 1)) as bigint)))"
-    z = lambda j: f"element_at(p, i + {ORDER - j})"
-    context = lambda k: " + ".join([f"{z(j)} * {_BASE**j}" for j in range(1, k + 1)] or ["0L"])
-    bucket = lambda value: f"cast(pmod({value}, {BUCKETS}) as int)"
-    names = ", ".join(f"'g{k}', {bucket(f'{z(0)} + {context(k)}')}, 'c{k}', {bucket(context(k))}" for k in range(ORDER + 1))
-    return f"transform(array({codes}), p -> transform(if(length(url) > 0, sequence(1, length(url)), cast(array() as array<int>)), i -> named_struct({names})))[0]"
+def _places(rows: DataFrame) -> DataFrame:
+    """A row for each character of url (one of nulls for none) with z0, its code point, and z1 ... those before it, 0 before the first."""
+    codes = f"concat(array_repeat(0L, {ORDER}), transform(coalesce(regexp_extract_all(url, '(?s).', 0), cast(array() as array<string>)), c -> cast(ascii(c) as bigint)))"
+    each = rows.withColumn("_p", F.expr(codes)).withColumn("_n", F.size("_p") - ORDER)
+    zipped = F.arrays_zip(*(F.slice("_p", F.lit(ORDER + 1 - j), F.col("_n")).alias(f"z{j}") for j in range(ORDER + 1)))
+    return each.select(*rows.columns, F.inline_outer(zipped))
+
+
+def _slots() -> tuple[list[str], list[str]]:
+    """SQL for the slots of a place, by context length: of the character with its context, and of the context."""
+    context = lambda k: " + ".join([f"z{j} * {_BASE**j}" for j in range(1, k + 1)] or ["0L"])
+    slot = lambda i, v: f"cast(pmod({v}, {BUCKETS}) as int) + {i * BUCKETS}"
+    return [slot(k, f"z0 + {context(k)}") for k in range(ORDER + 1)], [slot(ORDER + 1 + k, context(k)) for k in range(ORDER + 1)]
 
 
 def counts(labelled: DataFrame) -> DataFrame:
@@ -48,9 +53,7 @@ def counts(labelled: DataFrame) -> DataFrame:
 
     Slots number the buckets of all context lengths, then those of the contexts: a table of fixed size for any input.
     """
-    kinds = [f"g{k}" for k in range(ORDER + 1)] + [f"c{k}" for k in range(ORDER + 1)]
-    slots = F.expr("flatten(transform(grams, x -> array(" + ", ".join(f"{i * BUCKETS} + x.{n}" for i, n in enumerate(kinds)) + ")))")
-    each = labelled.withColumn("grams", F.expr(_grams())).select("verdict", F.explode(slots).alias("slot"))
+    each = _places(labelled).where("z0 is not null").select("verdict", F.explode(F.expr(f"array({', '.join(sum(_slots(), []))})")).alias("slot"))
     return each.groupBy("slot").agg(F.count_if(F.col("verdict") == "allow").alias("allow"), F.count_if(F.col("verdict") == "block").alias("block"))
 
 
@@ -59,20 +62,33 @@ def _model(table: DataFrame) -> DataFrame:
     size = 2 * (ORDER + 1) * BUCKETS
     full = table.sparkSession.range(size).select(F.col("id").cast("int").alias("slot")).join(table, "slot", "left")
     ordered = F.expr("array_sort(collect_list(struct(slot, coalesce(allow, 0L) as allow, coalesce(block, 0L) as block)))")
-    return full.agg(ordered.alias("m")).selectExpr("transform(m, x -> x.allow) as allow", "transform(m, x -> x.block) as block")
+    return full.agg(ordered.alias("m")).selectExpr("transform(m, x -> cast(x.allow as double)) as allow", "transform(m, x -> cast(x.block as double)) as block")
 
 
-def _log_ratio(model: str = "model") -> str:
-    """SQL for the mean, over url's characters, of ln P(allow) - ln P(block), each interpolated from no context to the longest."""
+def _log_ratio(model: DataFrame) -> Column:
+    """ln P(allow) - ln P(block) of a place, each interpolated from no context to the longest; the model is a scalar, not a column of rows."""
 
-    def p(kind: str) -> str:
-        out = f"{1 / _ALPHABET!r}D"
+    def p(kind: str) -> Column:
+        counts, out = model.select(kind).scalar(), F.lit(1 / _ALPHABET)
         for k in range(ORDER + 1):
-            n, d = f"element_at({kind}, x.g{k} + {k * BUCKETS + 1})", f"element_at({kind}, x.c{k} + {(ORDER + 1 + k) * BUCKETS + 1})"
-            out = f"(({n} + {_PRIOR}D * {out}) / ({d} + {_PRIOR}D))"
+            out = (counts[F.col(f"g{k}")] + _PRIOR * out) / (counts[F.col(f"c{k}")] + _PRIOR)
         return out
 
-    return f"if(size(grams) > 0, aggregate(grams, 0D, (s, x) -> s + ln({p('allow')}) - ln({p('block')})) / size(grams), cast(null as double))"
+    return F.log(p("allow")) - F.log(p("block"))
+
+
+def _scored(rows: DataFrame, model: DataFrame) -> DataFrame:
+    """rows (with url) and score, the mean over the url's characters, null if it has none.
+
+    A url's characters are rows of one task only, whose sums are added up before they are shuffled.
+    """
+    grams, contexts = _slots()
+    named = {f"g{k}": F.expr(x) for k, x in enumerate(grams)} | {f"c{k}": F.expr(x) for k, x in enumerate(contexts)}
+    rest = [c for c in rows.columns if c != "url"]
+    each = _places(rows.withColumn("_row", F.monotonically_increasing_id())).select("_row", *rest, "z0", *(c.alias(n) for n, c in named.items()))
+    each = each.select("_row", *rest, "z0", _log_ratio(model).alias("_r"))
+    sums = each.groupBy("_row", *rest).agg(F.sum("_r").alias("_r"), F.count("z0").alias("_n"))
+    return sums.select(*rest, F.when(F.col("_n") > 0, F.col("_r") / F.col("_n")).alias("score"))
 
 
 def judge(pages: DataFrame, rules: tuple = RULES, key: str = "page_id", url: str = "url") -> DataFrame:
@@ -90,9 +106,7 @@ def judge(pages: DataFrame, rules: tuple = RULES, key: str = "page_id", url: str
     base = base.withColumns({"rule": rule, "ruled": ruled})
     table = cut(counts(base.where("ruled is not null").select("url", F.col("ruled").alias("verdict"))), "url-counts")
     model = cut(_model(table), "url-model")
-    grams = base.withColumn("grams", F.expr(_grams()))
-    scored = grams.withColumns({"allow": model.select("allow").scalar(), "block": model.select("block").scalar()})
-    scored = cut(scored.withColumn("score", F.expr(_log_ratio())).drop("grams", "allow", "block"), "url-scores")
+    scored = cut(_scored(base, model), "url-scores")
     mean = lambda kind: F.avg(F.when(F.col("ruled") == kind, F.col("score")))
     middle = scored.agg((mean("allow") + mean("block")).alias("m")).select(F.col("m") / 2)
     own = F.when(F.col("score") < middle.scalar(), "block").otherwise("allow")

@@ -55,12 +55,12 @@ def test_toxicity_without_labels_or_rows(spark, docs, labels_schema):
     assert toxicity.score(docs([]), toxicity.train(docs([]), none)).count() == 0
 
 
-def test_shared_hash_is_sparks(spark):
+def test_cells_are_sparks(spark):
     from pyspark.sql import functions as F
 
-    values = [0, 1, -1, 2**62, -(2**63), 123456789]
-    got = [r[0] for r in spark.createDataFrame([(v,) for v in values], "v long").select(F.xxhash64("v")).collect()]
-    assert [int(x) for x in toxicity.mixed(np.array(values), 40)] == [g & (2**40 - 1) for g in got]
+    values = [0, 1, 2**60 - 1, 123456789, 98765432109876543]
+    got = [r[0] for r in spark.createDataFrame([(v,) for v in values], "v long").select(toxicity._cell(F.col("v"), 20)).collect()]
+    assert [int(x) for x in toxicity.mixed(np.array(values), 20)] == got
 
 
 def test_kneser_ney_probabilities_sum_to_one(spark, docs):

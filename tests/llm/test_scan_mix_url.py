@@ -53,7 +53,7 @@ def test_secrets_match_sql_and_are_scanned_once(spark, docs):
     assert secrets.scan_documents(docs([]), path + "x").count() == 0
     found = {r.doc_id: [(s.kind, s.start, s.stop) for s in r.spans] for r in out.collect()}
     assert [k for k, _, _ in found[4]] == ["assign"] and found[3][0] == ("hex", 0, 24)
-    assert found[1] == found[7] and [k for k, _, _ in found[6]] == ["github", "pem"]
+    assert found[1] == found[7] and [k for k, _, _ in found[6]] == ["github", "hex", "pem"]
 
 
 def test_mix_matches_sql(docs):
