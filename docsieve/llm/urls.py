@@ -41,11 +41,11 @@ def _places(rows: DataFrame) -> DataFrame:
     return each.select(*rows.columns, F.inline_outer(zipped))
 
 
-def _slots() -> tuple[list[str], list[str]]:
-    """SQL for the slots of a place, by context length: of the character with its context, and of the context."""
+def _buckets() -> tuple[list[str], list[str]]:
+    """SQL for the buckets of a place, by context length: of the character with its context, and of the context."""
     context = lambda k: " + ".join([f"z{j} * {_BASE**j}" for j in range(1, k + 1)] or ["0L"])
-    slot = lambda i, v: f"cast(pmod({v}, {BUCKETS}) as int) + {i * BUCKETS}"
-    return [slot(k, f"z0 + {context(k)}") for k in range(ORDER + 1)], [slot(ORDER + 1 + k, context(k)) for k in range(ORDER + 1)]
+    bucket = lambda v: f"cast(pmod({v}, {BUCKETS}) as int)"
+    return [bucket(f"z0 + {context(k)}") for k in range(ORDER + 1)], [bucket(context(k)) for k in range(ORDER + 1)]
 
 
 def counts(labelled: DataFrame) -> DataFrame:
@@ -53,25 +53,30 @@ def counts(labelled: DataFrame) -> DataFrame:
 
     Slots number the buckets of all context lengths, then those of the contexts: a table of fixed size for any input.
     """
-    each = _places(labelled).where("z0 is not null").select("verdict", F.explode(F.expr(f"array({', '.join(sum(_slots(), []))})")).alias("slot"))
+    slots = ", ".join(f"{x} + {i * BUCKETS}" for i, x in enumerate(sum(_buckets(), [])))
+    each = _places(labelled).where("z0 is not null").select("verdict", F.explode(F.expr(f"array({slots})")).alias("slot"))
     return each.groupBy("slot").agg(F.count_if(F.col("verdict") == "allow").alias("allow"), F.count_if(F.col("verdict") == "block").alias("block"))
 
 
 def _model(table: DataFrame) -> DataFrame:
-    """One row: allow and block, arrays of counts by slot."""
-    size = 2 * (ORDER + 1) * BUCKETS
-    full = table.sparkSession.range(size).select(F.col("id").cast("int").alias("slot")).join(table, "slot", "left")
+    """(part, allow, block): for each context length, of grams then of contexts, arrays of BUCKETS counts."""
+    full = table.sparkSession.range(2 * (ORDER + 1) * BUCKETS).select(F.col("id").cast("int").alias("slot")).join(table, "slot", "left")
     ordered = F.expr("array_sort(collect_list(struct(slot, coalesce(allow, 0L) as allow, coalesce(block, 0L) as block)))")
-    return full.agg(ordered.alias("m")).selectExpr("transform(m, x -> cast(x.allow as double)) as allow", "transform(m, x -> cast(x.block as double)) as block")
+    parts = full.groupBy(F.expr(f"slot div {BUCKETS}").cast("int").alias("part")).agg(ordered.alias("m"))
+    return parts.selectExpr("part", "transform(m, x -> cast(x.allow as double)) as allow", "transform(m, x -> cast(x.block as double)) as block")
 
 
 def _log_ratio(model: DataFrame) -> Column:
-    """ln P(allow) - ln P(block) of a place, each interpolated from no context to the longest; the model is a scalar, not a column of rows."""
+    """ln P(allow) - ln P(block) of a place, each interpolated from no context to the longest.
+
+    The model's arrays are scalars, not columns of rows. Each is mentioned once, as every mention is sent to the tasks anew.
+    """
 
     def p(kind: str) -> Column:
-        counts, out = model.select(kind).scalar(), F.lit(1 / _ALPHABET)
+        at = lambda part, slot: model.where(F.col("part") == part).select(kind).scalar()[F.col(slot)]
+        out = F.lit(1 / _ALPHABET)
         for k in range(ORDER + 1):
-            out = (counts[F.col(f"g{k}")] + _PRIOR * out) / (counts[F.col(f"c{k}")] + _PRIOR)
+            out = (at(k, f"g{k}") + _PRIOR * out) / (at(ORDER + 1 + k, f"c{k}") + _PRIOR)
         return out
 
     return F.log(p("allow")) - F.log(p("block"))
@@ -82,7 +87,7 @@ def _scored(rows: DataFrame, model: DataFrame) -> DataFrame:
 
     A url's characters are rows of one task only, whose sums are added up before they are shuffled.
     """
-    grams, contexts = _slots()
+    grams, contexts = _buckets()
     named = {f"g{k}": F.expr(x) for k, x in enumerate(grams)} | {f"c{k}": F.expr(x) for k, x in enumerate(contexts)}
     rest = [c for c in rows.columns if c != "url"]
     each = _places(rows.withColumn("_row", F.monotonically_increasing_id())).select("_row", *rest, "z0", *(c.alias(n) for n, c in named.items()))
