@@ -187,7 +187,8 @@ def test_generator_of_planes():
 
 
 def test_similar_notes_and_embedding_store(spark, tmp_path):
-    ix = build(spark, {"a.md": "the cap is ninety days by law", "b.md": "the cap is ninety days by rule", "c.md": "pasta with salt", "cards/x.md": "the cap is ninety days by law"})
+    long = " ".join(f"clause{i}" for i in range(60))
+    ix = build(spark, {"a.md": f"{long} ends by law", "b.md": f"{long} ends by rule", "c.md": "pasta with salt", "cards/x.md": f"{long} ends by law"})
     store = vectors.EmbeddingStore(spark, f"file://{tmp_path}/emb", "m")
     assert store.misses(ix.chunks).count() == 4
     store.update(ix.chunks, vectors.hash_embedder())

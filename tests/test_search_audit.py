@@ -39,6 +39,7 @@ def topics(spark):
         "rule38.md": "# Rules\nRule 3.8 governs the prosecutor.",
         "rule39.md": "# Rules again\nRule 3.9 governs the advocate.",
         "ord.md": "# Ordinance 2026-04\nOrdinance 2026-04 sets the cap at 90 days in 2026.",
+        "minutes.md": "# Minutes of 2026-03\nIn 2026 the council took up the ordinance again.",
     }
     return build(spark, files, mtimes={"k8s.md": NOW - 400 * DAY})
 
@@ -78,7 +79,7 @@ def test_hybrid_gate(spark, topics):
     assert out["mode"] == "hybrid" and not out["weak"] and out["hits"][0]["sem"] == 0.75 and out["confidence"] <= 1
 
 
-AUDIT = {"orphan.md": "Nothing links to this one and it links to nothing, though it has words enough in it.", "hasbroken.md": "[[Ghost Note]] and more words so that this isn't a stub at all, really it is not.", "dup-a.md": "---\ntitle: Shared Title\n---\ntwelve words are needed here so that this one is no stub [[dup-b]]", "dup-b.md": "---\ntitle: Shared Title\n---\ntwelve words are needed here so that this other is no stub [[dup-a]]", "stub.md": "short #t"}
+AUDIT = {"orphan.md": "Nothing links to this one and it links to nothing, though it has words enough in it.", "hasbroken.md": "[[Ghost Note]] and more words so that this isn't a stub at all, really it is not.", "dup-a.md": "---\ntitle: Shared Title\n---\ntwelve words are needed here so that this one is no stub [[dup-b]]", "dup-b.md": "---\ntitle: Shared Title\n---\ntwelve words are needed here so that this other is no stub [[dup-a]]", "stub.md": "short #tag"}
 
 
 def test_audit(spark):
