@@ -170,11 +170,12 @@ def _query_vector(spark, d):
     return table(spark, d, "embeddings").where("vec_id = 0").agg(F.first("embedding").alias("v")).first()["v"]
 
 
-@query(f"{_CHUNK}, sem as (select doc_id, {_COS} cos from (select n.doc_id, e.embedding a, z.embedding b from notes n join embeddings e on e.vec_id = n.doc_id % 500, (select embedding from embeddings where vec_id = 0) z)), {_boost_sql('edoution', sem=True)} {_SHOWN}")
+@query(f"{_CHUNK}, sem as (select doc_id, {_COS} cos from (select n.doc_id, e.embedding a, z.embedding b from notes n join embeddings e on e.vec_id = n.doc_id % (select count(*) from embeddings), (select embedding from embeddings where vec_id = 0) z)), {_boost_sql('edoution', sem=True)} {_SHOWN}")
 def hybrid_blend(spark, d):
     q = F.array(*(F.lit(float(x)) for x in _query_vector(spark, d)))
-    vec = table(spark, d, "embeddings").where("vec_id < 500").select("vec_id", vectors.cosine(F.col("embedding"), q).alias("sem"))
-    sem = table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), (F.col("doc_id") % 500).alias("vec_id")).join(vec, "vec_id").select("chunk_id", "sem")
+    rows = table(spark, d, "embeddings")
+    n, vec = rows.agg(F.count(F.lit(1))).scalar(), rows.select("vec_id", vectors.cosine(F.col("embedding"), q).alias("sem"))
+    sem = table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), (F.col("doc_id") % n).alias("vec_id")).join(vec, "vec_id").select("chunk_id", "sem")
     return _top(search.ranked(corpus.index(spark, d), "edoution", sem))
 
 
