@@ -85,11 +85,3 @@ def near_duplicates(docs: DataFrame, distance: int = 2, width: int = 3, key: str
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     class_of = rooted.join(least, "root").select("fp", "component_id")
     return fps.join(class_of, "fp").select(key, "fp", "component_id")
-
-
-def survivors(docs: DataFrame, distance: int = 2, width: int = 3) -> DataFrame:
-    """docs without the rows whose doc_id isn't their component's least; rows with a null doc_id stay."""
-    from docsieve.shared import sized_join
-
-    drop = near_duplicates(docs, distance, width).where("doc_id <> component_id").select("doc_id").distinct()
-    return sized_join(docs, cut(drop, "dropped"), "doc_id", "left_anti")

@@ -134,3 +134,30 @@ def test_line_runs_against_all_runs(docs):
         assert sorted(str(r.text) for r in got) == sorted(str(expected[x]) for x in rows)
         assert {r.blob for r in got} == {7}
     assert lineruns.dedup_lines(docs([])).count() == 0
+
+
+def test_near_copies_of_the_stage_against_all_pairs(spark, docs):
+    from docsieve.llm import nearcopies
+
+    rnd = random.Random(5)
+    rows = []
+    for g in range(12):
+        words = [f"w{rnd.randrange(5000)}" for _ in range(120)]
+        for c in range(6):
+            other = list(words)
+            for at in rnd.sample(range(120), c):
+                other[at] = f"x{g}_{c}_{at}"
+            rows.append((100 * g + c, " ".join(other)))
+    rows += [(5000, "short text"), (5001, "Short  text"), (5002, None), (5003, ""), (7, "one id"), (7, "two texts of it"), (5004, "one id"), (None, "no id here"), (None, "no id here"), (None, "short text")]
+    sets = [frozenset(nearcopies.shingles((t or "").encode()).tolist()) for _, t in rows]
+    near = [[a == b or bool(a | b) and len(a & b) >= 0.8 * len(a | b) for b in sets] for a in sets]
+    root = list(range(len(rows)))
+    for _ in rows:
+        root = [min(root[j] for j in range(len(rows)) if near[i][j]) for i in range(len(rows))]
+    groups = {}
+    for i, r in enumerate(root):
+        groups.setdefault(r, []).append(rows[i][0])
+    expected = sorted((min((x for x in g if x is not None), default=-1) for g in groups.values()))
+    got = nearcopies.survivors(docs(rows)).collect()
+    assert sorted(-1 if r.doc_id is None else r.doc_id for r in got) == expected and len(groups) < len(rows) - 24
+    assert ("two texts of it" in {r.text for r in got}) and nearcopies.survivors(docs([])).count() == 0
