@@ -10,9 +10,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from docsieve.shared import cut
+from docsieve.shared import cut, sized_join
 
 #: Samples a second that are analysed; samples of a frame and between frames; frames that one integer looks at.
 RATE, FRAME, HOP, SPAN = 5512, 2048, 682, 16
@@ -24,6 +23,8 @@ FILTERS = (
 )
 #: The middle of four levels on either side of even, as the logarithm of the parts' ratio.
 LEVEL = 0.15
+#: Prints up to which they are broadcast to the voted pairs.
+SIDE_ROWS = 100_000
 _GRAY = np.array([0, 1, 3, 2], np.uint32)
 
 
@@ -127,19 +128,20 @@ def fingerprints(rows: DataFrame, key: str, media: str, decode: Callable = read_
 
 
 def bit_error(a: str, b: str, offset: str) -> str:
-    """SQL for the share of differing bits where a from offset on lies over b."""
+    """SQL for the share of differing bits where a from offset on lies over b. As bit_count widens to long, signs are masked."""
     x, y = f"greatest(0, {offset})", f"greatest(0, -({offset}))"
     n = f"least(size({a}) - {x}, size({b}) - {y})"
-    return f"aggregate(zip_with(slice({a}, {x} + 1, {n}), slice({b}, {y} + 1, {n}), (p, q) -> bit_count(p ^ q)), 0, (s, c) -> s + c) / (32D * {n})"
+    return f"aggregate(zip_with(slice({a}, {x} + 1, {n}), slice({b}, {y} + 1, {n}), (p, q) -> bit_count((p ^ q) & 4294967295L)), 0, (s, c) -> s + c) / (32D * {n})"
 
 
 def align(prints: DataFrame, key: str, every: int = 50, least_overlap: int = 16, most_error: float = 0.2) -> DataFrame:
     """A row for each recording (key, class_id, n, match and what follows null), then one for each match of a query class.
 
     Recordings of one print are a class, named by its least key. Queries are the classes with a key divisible by every; they
-    are searched in all classes. Every integer of a query, and each that differs in one bit, looks for equal integers; the
-    offsets of those found are counted for each pair, and a pair matches if at its most frequent offset (of equal counts
-    that of least bit errors) at least least_overlap integers overlap with at most most_error of the bits in error. Matches
+    are searched in all classes. Each half of 16 bits of every integer of a query, and each that differs in one bit, looks
+    for equal halves; those found are counted as votes for each pair and offset. Every voted offset at which at least
+    least_overlap integers overlap is checked, and a pair matches if at most most_error of the bits are in error; of its
+    offsets that do, the one of least bit errors is given. A match without a vote at its offset is missed. Matches
     are (key: the query's class, class_id, match_id: the other class, offset, votes, bit_error). Silent or short recordings,
     whose print is empty, form one class without matches. There is no limit of candidates; a frequent integer's rows meet
     in a join that adaptive execution splits.
@@ -147,15 +149,17 @@ def align(prints: DataFrame, key: str, every: int = 50, least_overlap: int = 16,
     own = cut(prints.select(F.col(key).alias("_id"), "print"), "prints")
     classes = own.groupBy("print").agg(F.min("_id").alias("class_id"), F.max((F.col("_id") % every == 0).cast("int")).alias("asks"))
     classes = cut(classes.where("class_id is not null"), "classes")
-    index = classes.select("class_id", F.posexplode("print").alias("at", "v"))
-    asked = classes.where("asks = 1").select(F.col("class_id").alias("query_id"), F.posexplode("print").alias("from", "v0"))
-    asked = asked.select("query_id", "from", F.explode(F.expr("concat(array(v0), transform(sequence(0, 31), i -> v0 ^ shiftleft(1, i)))")).alias("v"))
-    met = asked.join(index, "v").where("query_id <> class_id")
-    votes = met.groupBy("query_id", "class_id", (F.col("from") - F.col("at")).alias("offset")).agg(F.count(F.lit(1)).alias("votes"))
-    top = votes.withColumn("r", F.rank().over(Window.partitionBy("query_id", "class_id").orderBy(F.desc("votes")))).where("r = 1").drop("r")
-    pair = top.join(classes.select(F.col("class_id").alias("query_id"), F.col("print").alias("a")), "query_id").join(classes.select("class_id", F.col("print").alias("b")), "class_id")
-    overlap = F.expr("least(size(a) - greatest(0, offset), size(b) - greatest(0, -offset))")
-    pair = pair.where(overlap >= least_overlap).withColumn("bit_error", F.expr(bit_error("a", "b", "offset"))).where(F.col("bit_error") <= most_error)
+    halves = lambda v: F.expr(f"array(named_struct('h', 0, 'v', {v} & 65535), named_struct('h', 1, 'v', shiftrightunsigned({v}, 16)))")
+    index = classes.select("class_id", F.size("print").alias("m"), F.posexplode("print").alias("at", "v0")).select("class_id", "m", "at", F.inline(halves("v0")))
+    asked = classes.where("asks = 1").select(F.col("class_id").alias("query_id"), F.size("print").alias("n"), F.posexplode("print").alias("from", "v0"))
+    asked = asked.select("query_id", "n", "from", F.inline(halves("v0"))).select("query_id", "n", "from", "h", F.explode(F.expr("concat(array(v), transform(sequence(0, 15), i -> v ^ shiftleft(1, i)))")).alias("v"))
+    offset = F.col("from") - F.col("at")
+    overlap = F.least(F.col("n") - F.greatest(F.lit(0), offset), F.col("m") - F.greatest(F.lit(0), -offset))
+    met = asked.join(index, ["h", "v"]).where((F.col("query_id") != F.col("class_id")) & (overlap >= least_overlap))
+    votes = met.groupBy("query_id", "class_id", offset.alias("offset")).agg(F.count(F.lit(1)).alias("votes"))
+    pair = sized_join(votes, cut(classes.where("asks = 1").select(F.col("class_id").alias("query_id"), F.col("print").alias("a")), "asked"), "query_id", max_rows=SIDE_ROWS)
+    pair = sized_join(pair, cut(classes.select("class_id", F.col("print").alias("b")), "sides"), "class_id", max_rows=SIDE_ROWS)
+    pair = pair.withColumn("bit_error", F.expr(bit_error("a", "b", "offset"))).where(F.col("bit_error") <= most_error)
     best = pair.groupBy("query_id", "class_id").agg(F.min(F.struct("bit_error", "offset", "votes")).alias("m"))
     found = best.select(F.col("query_id").alias(key), F.col("query_id").alias("class_id"), F.lit(None).cast("int").alias("n"), F.col("class_id").alias("match_id"), "m.offset", "m.votes", "m.bit_error")
     member = own.join(classes.select("print", "class_id"), "print", "left")

@@ -135,3 +135,15 @@ def test_pipeline_stages(spark, corpus_dir):
     assert len(kept["tokens"]) == len(kept["mixing"])
     whole = sorted((r.doc_id, tuple(r.ids)) for r in p.run(spark, d).collect())
     assert whole == sorted((r.doc_id, tuple(r.ids)) for r in kept["tokens"])
+
+
+def test_alignment_finds_what_brute_force_finds(spark):
+    """Prints with bits in error everywhere, the sign's too; no integer within one bit of its counterpart."""
+    rnd = np.random.default_rng(11)
+    rows = []
+    for i in range(30):
+        a = rnd.integers(0, 2**32, 34, np.uint64).astype(np.uint32)
+        flips = np.array([np.uint32(1 << 31) | np.uint32(1 << int(j)) for j in rnd.integers(16, 31, 34)], np.uint32) | np.uint32(0b1)
+        rows += [(50 * i, a.view(np.int32).tolist()), (5001 + 2 * i, (a ^ flips)[3:].view(np.int32).tolist())]
+    out = chroma.align(spark.createDataFrame(rows, "id long, print array<int>"), "id").where("match_id is not null").collect()
+    assert {(r.class_id, r.match_id): (r.offset, r.bit_error) for r in out} == {(50 * i, 5001 + 2 * i): (3, 3 / 32) for i in range(30)}
