@@ -40,3 +40,16 @@ def test_nothing_else_imports_the_optional_package():
                 tree = ast.parse(open(os.path.join(folder, f)).read())
                 names = [n.module or "" for n in ast.walk(tree) if isinstance(n, ast.ImportFrom)] + [a.name for n in ast.walk(tree) if isinstance(n, ast.Import) for a in n.names]
                 assert not [n for n in names if "docsieve.llm" in n], f
+
+
+def test_lsh_recall_is_that_of_the_candidates(spark, tmp_path):
+    import numpy as np
+
+    rnd = np.random.default_rng(2)
+    rows = [(i, [float(x) for x in rnd.normal(size=64)], i % 5) for i in range(600)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    v = np.array([r[1] for r in rows], np.float32).astype(float)
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    exact = set(zip(*(x.tolist() for x in np.nonzero(np.triu(v @ v.T >= 0.3, 1))), strict=True))
+    found = {(r.i, r.j) for r in catalog.lsh_candidates(spark, str(tmp_path)).collect()}
+    assert len(found & exact) >= 0.9 * len(exact) > 0
