@@ -35,6 +35,10 @@ def read_wav(raw: bytes | None) -> tuple[np.ndarray, int]:
             width, channels, rate, data = f.getsampwidth(), f.getnchannels(), f.getframerate(), f.readframes(f.getnframes())
         if width == 1:
             x = np.frombuffer(data, np.uint8).astype(float) - 128
+        elif width == 3:  # as the upper bytes of 32 bits
+            wide = np.zeros((len(data) // 3, 4), np.uint8)
+            wide[:, 1:] = np.frombuffer(data[: len(data) // 3 * 3], np.uint8).reshape(-1, 3)
+            x = wide.view("<i4").ravel() / 256.0
         else:
             x = np.frombuffer(data[: len(data) // width * width], {2: "<i2", 4: "<i4"}[width]).astype(float)
         return x[: len(x) // channels * channels].reshape(-1, channels).mean(axis=1), rate

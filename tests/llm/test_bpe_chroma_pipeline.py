@@ -147,3 +147,13 @@ def test_alignment_finds_what_brute_force_finds(spark):
         rows += [(50 * i, a.view(np.int32).tolist()), (5001 + 2 * i, (a ^ flips)[3:].view(np.int32).tolist())]
     out = chroma.align(spark.createDataFrame(rows, "id long, print array<int>"), "id").where("match_id is not null").collect()
     assert {(r.class_id, r.match_id): (r.offset, r.bit_error) for r in out} == {(50 * i, 5001 + 2 * i): (3, 3 / 32) for i in range(30)}
+
+
+def test_samples_of_three_bytes():
+    values = [0, 1, -1, 8388607, -8388608, 123456, -654321]
+    out = io.BytesIO()
+    with wave.open(out, "wb") as f:
+        f.setnchannels(1), f.setsampwidth(3), f.setframerate(8000)
+        f.writeframes(b"".join(v.to_bytes(3, "little", signed=True) for v in values))
+    x, rate = chroma.read_wav(out.getvalue())
+    assert x.tolist() == values and rate == 8000
