@@ -5,6 +5,7 @@ import wave
 
 import numpy as np
 import pytest
+import regex
 
 from docsieve.llm import bpe, chroma
 from tests.llm.conftest import ODD
@@ -25,14 +26,23 @@ def test_round_trip_and_digests(spark, docs):
     assert bpe.digest(docs([])).count() == 0 and bpe.decode(bpe.encode(docs([]))).count() == 0
 
 
-def test_pieces_change_nothing():
+def test_pieces_change_nothing(monkeypatch):
     enc = bpe.encoding(*bpe._files(None, None))
     rnd = random.Random(1)
-    for _ in range(300):
-        text = "".join(rnd.choice(["a", "B", "9", " ", "  ", "\n", "'s", "'", "\u00a0", "\x1c", "\u2003", "-", "é", "\u4e2d", "\u0301", "don't "]) for _ in range(rnd.randrange(80)))
-        for size in (1, 7, 20):
-            assert "".join(bpe.pieces(text, size)) == text
-            assert bpe.encode_text(enc, text, size) == enc.encode_ordinary(text)
+    for white in (2, 3, 1000):
+        monkeypatch.setattr(bpe, "_WHITE", regex.compile(rf"\p{{White_Space}}{{{white},}}+"))
+        for _ in range(200):
+            text = "".join(rnd.choice(["a", "B", "9", " ", "  ", "\n", "\n\n\n", "   ", "\x85", "'s", "'", "\u00a0", "\x1c", "\u2003", "-", "é", "\u4e2d", "\u0301", "don't "]) for _ in range(rnd.randrange(80)))
+            for size in (1, 7, 20):
+                assert "".join(p for p, _ in bpe.pieces(text, size)) == text
+                assert bpe.encode_text(enc, text, size) == enc.encode_ordinary(text)
+
+
+def test_texts_of_millions(spark, docs):
+    rows = [(1, " " * 2_000_000), (2, "x" + "\n" * 2_000_000 + "y"), (3, "a" * 2_000_000), (4, "\u4e2d" * 1_000_000), (5, "\t \n" * 700_000 + "end"), (6, "\U0001f600" * 300_000)]
+    got = {r.doc_id: r for r in bpe.digest(docs(rows)).collect()}
+    assert {i: r.decoded_sha256 for i, r in got.items()} == {i: hashlib.sha256(t.encode()).hexdigest() for i, t in rows}
+    assert got[1].n_tokens == len(bpe.encoding(*bpe._files(None, None))._encode_single_piece(b" " * 2_000_000))
 
 
 def tune(seed, seconds=9.0, rate=11025):
