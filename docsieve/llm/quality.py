@@ -10,13 +10,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from docsieve.llm.labelled import with_label
+from docsieve.shared import cut
 
 #: Buckets of hashed words and word shapes, behind the FIXED features of a whole text.
 BUCKETS, FIXED = 1 << 16, 2
 #: Rated documents that a model is fitted on, at most.
 SAMPLE_ROWS = 8_000
+#: Tasks that make the sample's features.
+FIT_TASKS = 24
 #: Words whose weights a worker remembers before it forgets them all.
 _REMEMBERED = 400_000
 _RUNS = ((re.compile(r"[^\W\d_]+"), "a"), (re.compile(r"\d+"), "0"), (re.compile(r"([^\w\s])\1+"), r"\1\1"))
@@ -27,7 +31,7 @@ def shape(word: str) -> str:
     letters = "A" if word.isupper() and len(word) > 1 else "Aa" if word[:1].isupper() else "a"
     for pattern, to in _RUNS:
         word = pattern.sub(letters if to == "a" else to, word)
-    return word[:12]
+    return word
 
 
 def buckets(word: str) -> tuple[int, int]:
@@ -99,15 +103,19 @@ def fit(who: np.ndarray, at: np.ndarray, x: np.ndarray, ratings: np.ndarray, rou
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str = "doc_id", text: str = "text", most: int = SAMPLE_ROWS) -> Ordinal:
-    """Fits on most rated documents at most, the first by hash of those not in fold 0; their features go to the driver."""
+    """Fits on most rated documents at most, the first by hash of those not in fold 0; their features go to the driver.
+
+    Null keys and labels rate nothing; of several labels of a key the largest counts. An empty table fits no thresholds.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [features(x.as_py()) for x in batch.column(0)]
             yield pa.RecordBatch.from_arrays([pa.array([list(f) for f in found], pa.list_(pa.int32())), pa.array([list(f.values()) for f in found], pa.list_(pa.float32())), batch.column(1)], ["b", "v", "y"])
 
-    sample = with_label(docs, labels, label, key, text, "inner", most).orderBy(F.xxhash64(key), key).limit(most)
-    got = sample.select("_text", "_label").mapInArrow(run, "b array<int>, v array<float>, y int").toArrow()
+    sample = with_label(docs, labels, label, key, text, "inner", most).orderBy(F.xxhash64(key), key, F.xxhash64("_text")).limit(most)
+    sample = cut(sample.select("_text", "_label"), "rated").repartition(FIT_TASKS)
+    got = sample.mapInArrow(run, "b array<int>, v array<float>, y int").toArrow()
     flat, y = got.combine_chunks(), got["y"].to_numpy()
     lists = [c for name in ("b", "v") for c in flat[name].chunks]
     if not len(y):
@@ -117,22 +125,19 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str =
     return fit(np.repeat(np.arange(len(y)), sizes), at, x, y)
 
 
-def score(docs: DataFrame, model: Ordinal, at_least: int | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, expected_grade, tail): tail is the probability of grade at_least (default: the second lowest) or better.
-
-    Null and empty texts have no features and get what the thresholds alone give. Repeated rows stay repeated.
-    """
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast((model.grades, model.weights, model.cuts))
+def scored(docs: DataFrame, model: Ordinal, at_least: int | None = None, text: str = "text", names: tuple[str, str] = ("expected_grade", "tail")) -> DataFrame:
+    """docs with two more columns, so that a decision stays with its row whatever the keys are; see score()."""
+    shared = docs.sparkSession.sparkContext.broadcast((model.grades, model.weights, model.cuts))
     which = len([g for g in model.grades if g < (at_least if at_least is not None else (model.grades[1:] or [model.grades[0]])[0])]) - 1
+    place, fields = docs.columns.index(text), [*docs.schema.fields, *(StructField(n, DoubleType()) for n in names)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Ordinal(*shared.value)
         known: dict[str, float] = {}
         for batch in batches:
             s = np.zeros(len(batch))
-            for i, text in enumerate(batch.column(1)):
-                if not (words := (text.as_py() or "").split()):
+            for i, raw in enumerate(batch.column(place)):
+                if not (words := str(raw.as_py() or "").split()):
                     continue
                 if len(known) > _REMEMBERED:
                     known.clear()
@@ -141,12 +146,31 @@ def score(docs: DataFrame, model: Ordinal, at_least: int | None = None, key: str
                     known[w] = own.weights[a] + own.weights[b]
                 s[i] = sum(map(known.__getitem__, words)) / len(words) + float(np.dot(whole(words), own.weights[:FIXED]))
             tail = own.tails(s)[:, which] if 0 <= which < len(own.cuts) else np.full(len(batch), 1.0 if which < 0 else 0.0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own.expected(s)), pa.array(tail)], [key, "expected_grade", "tail"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own.expected(s)), pa.array(tail)], [f.name for f in fields])
+
+    return docs.mapInArrow(run, StructType(fields))
+
 
-    kept = docs.select(F.col(key), F.col(text).cast("string").alias("_text"))
-    return kept.mapInArrow(run, f"`{key}` {kept.schema[key].dataType.simpleString()}, expected_grade double, tail double")
+def score(docs: DataFrame, model: Ordinal, at_least: int | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, expected_grade, tail): tail is the probability of grade at_least (default: the second lowest) or better.
+
+    Null and empty texts have no features and get what the thresholds alone give. Very long texts are scored whole, a batch of
+    rows in a worker. Repeated rows stay repeated and get the same score, as do rows with a null key; an empty table gives
+    none; other columns of docs are left out.
+    """
+    return scored(docs.select(F.col(key), F.col(text).cast("string").alias("_text")), model, at_least, "_text").drop("_text")
 
 
 def select(docs: DataFrame, labels: DataFrame, least: float = 0.5, **options) -> DataFrame:
-    """(doc_id, expected_grade, tail, kept): kept if the tail probability is at least least."""
+    """(doc_id, expected_grade, tail, kept) of every row: kept if the tail probability is at least least."""
     return score(docs, train(docs, labels, **options)).withColumn("kept", F.col("tail") >= least)
+
+
+def keep(docs: DataFrame, labels: DataFrame, least: float = 0.5, **options) -> DataFrame:
+    """The rows of docs, all columns, whose own text has a tail probability of at least least.
+
+    Each row is judged by its text, so rows that share a key, or have none, are judged apart. An empty table gives none. A
+    column of docs may have any name but _quality_grade and _quality_tail.
+    """
+    names = ("_quality_grade", "_quality_tail")
+    return scored(docs, train(docs, labels, **options), names=names).where(F.col(names[1]) >= least).select(docs.columns)
