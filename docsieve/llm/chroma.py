@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docsieve.shared import cut, sized_join
+from docsieve.shared import cut
 
 #: Samples a second that are analysed; samples of a frame and between frames; frames that one integer looks at.
 RATE, FRAME, HOP, SPAN = 5512, 2048, 682, 16
@@ -23,8 +23,8 @@ FILTERS = (
 )
 #: The middle of four levels on either side of even, as the logarithm of the parts' ratio.
 LEVEL = 0.15
-#: Prints up to which they are broadcast to the voted pairs.
-SIDE_ROWS = 100_000
+#: Integers of the queries that are sent to all tasks at once, 16 MB; integers of a block of prints.
+GROUP, _BLOCK = 4_000_000, 1 << 15
 _GRAY = np.array([0, 1, 3, 2], np.uint32)
 
 
@@ -46,6 +46,19 @@ def read_wav(raw: bytes | None) -> tuple[np.ndarray, int]:
         return np.empty(0), RATE
 
 
+def broken(raw: bytes | None) -> bool:
+    """Whether there are bytes that read_wav() can't decode."""
+    return bool(raw) and not len(read_wav(raw)[0]) and not _opens(raw)
+
+
+def _opens(raw: bytes) -> bool:
+    try:
+        with wave.open(io.BytesIO(raw)) as f:
+            return f.getsampwidth() in (1, 2, 3, 4)
+    except (wave.Error, EOFError):
+        return False
+
+
 def _resampled(x: np.ndarray, rate: int) -> np.ndarray:
     if rate == RATE or not len(x):
         return x
@@ -117,7 +130,8 @@ def fingerprint(x: np.ndarray, rate: int = RATE) -> np.ndarray:
 def fingerprints(rows: DataFrame, key: str, media: str, decode: Callable = read_wav) -> DataFrame:
     """(key, print): array of integers of the media column, which decode turns into (samples, rate); WAV unless told otherwise.
 
-    What is null, empty, broken or shorter than SPAN frames has an empty print. A recording is held whole by one worker.
+    What is null, empty, shorter than SPAN frames or not decodable (compressed, floating-point or broken WAV) has an empty
+    print; broken() tells those apart. A recording is held whole by one worker.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,45 +145,108 @@ def fingerprints(rows: DataFrame, key: str, media: str, decode: Callable = read_
     return kept.mapInArrow(run, f"`{key}` {kept.schema[key].dataType.simpleString()}, print array<int>")
 
 
-def bit_error(a: str, b: str, offset: str) -> str:
-    """SQL for the share of differing bits where a from offset on lies over b. As bit_count widens to long, signs are masked."""
-    x, y = f"greatest(0, {offset})", f"greatest(0, -({offset}))"
-    n = f"least(size({a}) - {x}, size({b}) - {y})"
-    return f"aggregate(zip_with(slice({a}, {x} + 1, {n}), slice({b}, {y} + 1, {n}), (p, q) -> bit_count((p ^ q) & 4294967295L)), 0, (s, c) -> s + c) / (32D * {n})"
+def _blocks(ids: list, prints: pa.ListArray) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
+    """(ids, sizes, integers, padded with zeros) in parts of about _BLOCK integers, of like sizes."""
+    flat, edge = prints.flatten().to_numpy(), prints.offsets.to_numpy()
+    edge = edge - edge[0]
+    sizes, at = np.diff(edge), 0
+    order = np.argsort(sizes, kind="stable")
+    while at < len(order):
+        end = at + 1
+        while end < len(order) and (end + 1 - at) * sizes[order[end]] <= _BLOCK:
+            end += 1
+        some = order[at:end]
+        wide = np.zeros((len(some), sizes[some[-1]]), np.int32)
+        for row, i in zip(wide, some, strict=True):
+            row[: sizes[i]] = flat[edge[i] : edge[i + 1]]
+        yield [ids[i] for i in some], sizes[some], wide
+        at = end
+
+
+def _signs(sizes: np.ndarray, wide: np.ndarray) -> np.ndarray:
+    """Bits as 1 and -1, 32 columns an integer; 0 beyond a print's end."""
+    bits = np.unpackbits(wide.view(np.uint8), axis=1).astype(np.float32) * 2 - 1
+    bits[np.repeat(np.arange(wide.shape[1])[None, :] >= sizes[:, None], 32, axis=1)] = 0
+    return bits
+
+
+def compared(asked: tuple, other: tuple, least_overlap: int, most_error: float) -> list[tuple]:
+    """(i, j, offset, agreeing bits, bit error) of the pairs of two blocks that match, each by its best offset.
+
+    An offset's place in the histogram is how many bits of the integers that it lays over each other agree. A matrix product
+    of the signs, which counts agreeing bits less differing ones, gives it for all pairs at once, for every offset.
+    """
+    (_, n, a), (_, m, b) = asked, other
+    x, y = _signs(n, a), _signs(m, b)
+    found = []
+    for offset in range(least_overlap - b.shape[1], a.shape[1] - least_overlap + 1):
+        p, q = max(0, offset), max(0, -offset)
+        w = min(a.shape[1] - p, b.shape[1] - q)
+        overlap = np.minimum((n - p)[:, None], (m - q)[None, :])
+        total = x[:, 32 * p : 32 * (p + w)] @ y[:, 32 * q : 32 * (q + w)].T
+        i, j = np.nonzero((total >= 32 * (1 - 2 * most_error) * overlap - 1e-3) & (overlap >= least_overlap))
+        bits = 32 * overlap[i, j].astype(np.int64)
+        wrong = (bits - np.rint(total[i, j]).astype(np.int64)) // 2
+        found.append((i, j, np.full(len(i), offset), bits - wrong, wrong / bits))
+    if not found:
+        return []
+    i, j, offset, agree, error = map(np.concatenate, zip(*found, strict=True))
+    keep = error <= most_error
+    order = np.lexsort((offset, error, j, i))
+    order = order[keep[order]]
+    first = np.concatenate(([True], (np.diff(i[order]) != 0) | (np.diff(j[order]) != 0))) if len(order) else np.zeros(0, bool)
+    return [(int(i[k]), int(j[k]), int(offset[k]), int(agree[k]), float(error[k])) for k in order[first]]
+
+
+def _searched(classes: DataFrame, asked: list, least_overlap: int, most_error: float) -> DataFrame:
+    """(query_id, class_id, offset, votes, bit_error) of classes against a group of queries, which all tasks hold."""
+    kind = classes.schema["class_id"].dataType.simpleString()
+    shared = classes.sparkSession.sparkContext.broadcast(asked)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for other in _blocks(batch.column(0).to_pylist(), batch.column(1)):
+                out = [(q[0][i], other[0][j], *rest) for q in shared.value for i, j, *rest in compared(q, other, least_overlap, most_error) if q[0][i] != other[0][j]]
+                if out:
+                    ids = batch.schema.field(0).type
+                    cols = list(zip(*out, strict=True))
+                    yield pa.RecordBatch.from_arrays([pa.array(cols[0], ids), pa.array(cols[1], ids), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.int64()), pa.array(cols[4], pa.float64())], ["query_id", "class_id", "offset", "votes", "bit_error"])
+
+    return classes.select("class_id", "print").mapInArrow(run, f"query_id {kind}, class_id {kind}, offset int, votes bigint, bit_error double")
 
 
 def align(prints: DataFrame, key: str, every: int = 50, least_overlap: int = 16, most_error: float = 0.2) -> DataFrame:
     """A row for each recording (key, class_id, n, match and what follows null), then one for each match of a query class.
 
     Recordings of one print are a class, named by its least key. Queries are the classes with a key divisible by every; they
-    are searched in all classes. Each half of 16 bits of every integer of a query, and each that differs in one bit, looks
-    for equal halves; those found are counted as votes for each pair and offset. Every voted offset at which at least
-    least_overlap integers overlap is checked, and a pair matches if at most most_error of the bits are in error; of its
-    offsets that do, the one of least bit errors is given. A match without a vote at its offset is missed. Matches
-    are (key: the query's class, class_id, match_id: the other class, offset, votes, bit_error). Silent or short recordings,
-    whose print is empty, form one class without matches. There is no limit of candidates; a frequent integer's rows meet
-    in a join that adaptive execution splits.
+    are searched in all classes. For each pair the bits that agree are counted at every offset at which at least
+    least_overlap integers lie over each other: the pair's histogram of offsets. It matches if at some offset at most
+    most_error of the bits are in error, and the offset of least errors (of equal ones the least) is given. Nothing is looked
+    up by a key that an error could change, so no match is missed. Matches are (key: the query's class, class_id, match_id:
+    the other class, offset, votes: agreeing bits, bit_error).
+
+    Silent or short recordings, whose print is null or empty, form one class without matches. Recordings without a key are in
+    a class but name none; a class of nothing else has a null class_id and isn't searched. Keys that aren't numbers ask
+    nothing. Repeated rows stay repeated; an empty table gives none; other columns are left out. Queries go to the tasks in
+    groups of about GROUP integers, by hash, a pass over the classes for each; no pair is a row of any table unless it matches.
     """
-    own = cut(prints.select(F.col(key).alias("_id"), "print"), "prints")
-    classes = own.groupBy("print").agg(F.min("_id").alias("class_id"), F.max((F.col("_id") % every == 0).cast("int")).alias("asks"))
+    digest = F.sha2(F.concat_ws(",", F.coalesce("print", F.array().cast("array<int>")).cast("array<string>")), 256)
+    own = cut(prints.select(F.col(key).alias("_id"), "print", digest.alias("_h")), "prints")
+    asks = F.coalesce(F.col("_id").try_cast("long") % every == 0, F.lit(False)).cast("int")
+    classes = own.groupBy("_h").agg(F.min("_id").alias("class_id"), F.max(asks).alias("asks"), F.first("print").alias("print"))
     classes = cut(classes.where("class_id is not null"), "classes")
-    halves = lambda v: F.expr(f"array(named_struct('h', 0, 'v', {v} & 65535), named_struct('h', 1, 'v', shiftrightunsigned({v}, 16)))")
-    index = classes.select("class_id", F.size("print").alias("m"), F.posexplode("print").alias("at", "v0")).select("class_id", "m", "at", F.inline(halves("v0")))
-    asked = classes.where("asks = 1").select(F.col("class_id").alias("query_id"), F.size("print").alias("n"), F.posexplode("print").alias("from", "v0"))
-    asked = asked.select("query_id", "n", "from", F.inline(halves("v0"))).select("query_id", "n", "from", "h", F.explode(F.expr("concat(array(v), transform(sequence(0, 15), i -> v ^ shiftleft(1, i)))")).alias("v"))
-    offset = F.col("from") - F.col("at")
-    overlap = F.least(F.col("n") - F.greatest(F.lit(0), offset), F.col("m") - F.greatest(F.lit(0), -offset))
-    met = asked.join(index, ["h", "v"]).where((F.col("query_id") != F.col("class_id")) & (overlap >= least_overlap))
-    votes = met.groupBy("query_id", "class_id", offset.alias("offset")).agg(F.count(F.lit(1)).alias("votes"))
-    pair = sized_join(votes, cut(classes.where("asks = 1").select(F.col("class_id").alias("query_id"), F.col("print").alias("a")), "asked"), "query_id", max_rows=SIDE_ROWS)
-    pair = sized_join(pair, cut(classes.select("class_id", F.col("print").alias("b")), "sides"), "class_id", max_rows=SIDE_ROWS)
-    pair = pair.withColumn("bit_error", F.expr(bit_error("a", "b", "offset"))).where(F.col("bit_error") <= most_error)
-    best = pair.groupBy("query_id", "class_id").agg(F.min(F.struct("bit_error", "offset", "votes")).alias("m"))
-    found = best.select(F.col("query_id").alias(key), F.col("query_id").alias("class_id"), F.lit(None).cast("int").alias("n"), F.col("class_id").alias("match_id"), "m.offset", "m.votes", "m.bit_error")
-    member = own.join(classes.select("print", "class_id"), "print", "left")
+    able = classes.where(F.size("print") >= least_overlap)
+    asked = able.where("asks = 1")
+    groups = -(-(asked.agg(F.sum(F.size("print"))).first()[0] or 0) // GROUP)
     null = lambda kind: F.lit(None).cast(kind)
-    member = member.select(F.col("_id").alias(key), "class_id", F.size("print").alias("n"), null("bigint").cast(found.schema["match_id"].dataType).alias("match_id"), null("int").alias("offset"), null("bigint").alias("votes"), null("double").alias("bit_error"))
-    return member.unionByName(found)
+    out = own.join(classes.select("_h", "class_id"), "_h", "left")
+    out = out.select(F.col("_id").alias(key), "class_id", F.coalesce(F.size("print"), F.lit(0)).alias("n"), null(classes.schema["class_id"].dataType).alias("match_id"), null("int").alias("offset"), null("bigint").alias("votes"), null("double").alias("bit_error"))
+    for g in range(groups):
+        some = asked.where(F.pmod(F.xxhash64("class_id"), F.lit(groups)) == g).select("class_id", "print").toArrow().combine_chunks()
+        blocks = [x for part in some.to_batches() for x in _blocks(part.column(0).to_pylist(), part.column(1))]
+        found = cut(_searched(able, blocks, least_overlap, most_error), f"matches{g}")
+        out = out.unionByName(found.select(F.col("query_id").alias(key), F.col("query_id").alias("class_id"), null("int").alias("n"), F.col("class_id").alias("match_id"), "offset", "votes", "bit_error"))
+    return out
 
 
 def played(vector: list[float] | None, note_s: float = 0.1) -> tuple[np.ndarray, int]:
@@ -183,5 +260,3 @@ def played(vector: list[float] | None, note_s: float = 0.1) -> tuple[np.ndarray,
     hz = 440 * 2 ** np.clip(2 * v, -1.5, 1.5)
     phase = 2 * np.pi * np.cumsum(np.repeat(hz, round(note_s * RATE))) / RATE
     return np.sin(phase) + 0.3 * np.sin(2 * phase), RATE
-
-

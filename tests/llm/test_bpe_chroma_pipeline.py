@@ -167,3 +167,90 @@ def test_samples_of_three_bytes():
         f.writeframes(b"".join(v.to_bytes(3, "little", signed=True) for v in values))
     x, rate = chroma.read_wav(out.getvalue())
     assert x.tolist() == values and rate == 8000
+
+
+def plain_print(x, rate):
+    """The definition without integral images: every filter sums its boxes cell by cell."""
+    image = chroma.chroma(chroma._resampled(x, rate))
+    out = []
+    for t in range(len(image) - chroma.SPAN + 1):
+        value = 0
+        for kind, y, h, w in chroma.FILTERS:
+            part = {True: 0.0, False: 0.0}
+            for i in range(w):
+                for j in range(h):
+                    a = {"tone": j < h // 2, "time": i < w // 2, "check": (i < w // 2) == (j < h // 2), "band": h // 3 <= j < 2 * h // 3, "pulse": w // 3 <= i < 2 * w // 3}[kind]
+                    part[a] += image[t + i, y + j] * (2 if a and kind in ("band", "pulse") else 1)
+            level = np.log((1 + part[True]) / (1 + part[False]))
+            value = value << 2 | [0, 1, 3, 2][sum(level >= e for e in (-chroma.LEVEL, 0.0, chroma.LEVEL))]
+        out.append(value)
+    return np.array(out, np.uint32)
+
+
+def test_fingerprint_against_plain_sums():
+    for seed in range(3):
+        x = tune(seed, 4.0) + np.random.default_rng(seed).normal(0, 0.1, 4 * 11025 - 4 * 11025 % 4)[: len(tune(seed, 4.0))]
+        got, want = chroma.fingerprint(x, 11025).view(np.uint32), plain_print(x, 11025)
+        assert len(got) == len(want) > 5
+        assert np.bitwise_count(got ^ want).sum() <= 0.001 * 32 * len(got)  # a sum on the edge of two levels may round either way
+
+
+def brute(prints, least=16, most=0.2):
+    """(query, other): (offset, error) over all offsets."""
+    out = {}
+    for q, a in prints.items():
+        for c, b in prints.items():
+            if q % 50 or q == c:
+                continue
+            best = None
+            for off in range(least - len(b), len(a) - least + 1):
+                x, y = max(0, off), max(0, -off)
+                n = min(len(a) - x, len(b) - y)
+                if n >= least:
+                    e = int(np.bitwise_count(a[x : x + n] ^ b[y : y + n]).sum()) / (32 * n)
+                    if e <= most and (best is None or (e, off) < (best[1], best[0])):
+                        best = off, e
+            if best:
+                out[q, c] = best
+    return out
+
+
+def test_alignment_is_whole_on_prints_of_all_lengths(spark, monkeypatch):
+    monkeypatch.setattr(chroma, "_BLOCK", 200)
+    monkeypatch.setattr(chroma, "GROUP", 300)
+    rnd = np.random.default_rng(3)
+    base = [rnd.integers(0, 2**32, int(n), np.uint64).astype(np.uint32) for n in rnd.integers(16, 90, 25)]
+    prints = {}
+    for i, a in enumerate(base):
+        prints[50 * i] = a
+        cut_ = a[int(rnd.integers(0, max(1, len(a) - 16))) :]
+        noise = (rnd.random((len(cut_), 32)) < rnd.uniform(0.1, 0.24)).astype(np.uint32) @ (np.uint32(1) << np.arange(32, dtype=np.uint32))
+        prints[9001 + 2 * i] = cut_ ^ noise.astype(np.uint32)
+    prints |= {7001: base[0][:10], 7003: base[1][:0]}
+    rows = [(i, a.view(np.int32).tolist()) for i, a in prints.items()]
+    out = chroma.align(spark.createDataFrame([*rows, (None, rows[0][1]), (7005, None), rows[0]], "id long, print array<int>"), "id").collect()
+    got = {(r.id, r.match_id): (r.offset, r.bit_error) for r in out if r.match_id is not None}
+    assert got == brute(prints) and len(got) > 8
+    assert sum(r.n is not None for r in out) == len(rows) + 3
+    empty = spark.createDataFrame([], "id long, print array<int>")
+    assert chroma.align(empty, "id").count() == 0
+    named = spark.createDataFrame([(f"k{i}", p) for i, p in rows], "id string, print array<int>")
+    assert chroma.align(named, "id").where("match_id is not null").count() == 0
+
+
+def test_recall_on_the_registered_table(spark):
+    """All matches that a search over all offsets finds among the played vectors of sf0.001 are found, and no other."""
+    d = "/root/testdata/sf0.001"
+    prints = {r.vec_id: chroma.fingerprint(*chroma.played(r.embedding)).view(np.uint32) for r in spark.read.parquet(f"{d}/embeddings.parquet").collect()}
+    first = {}
+    for i in sorted(prints):
+        first.setdefault(prints[i].tobytes(), i)
+    of_class = {min(i for i in prints if prints[i].tobytes() == b): np.frombuffer(b, np.uint32) for b in first}
+    from docsieve.llm import queries
+
+    got = {(r.class_id, r.match_id): (r.offset, r.bit_error) for r in queries.op4_chroma(spark, d).where("match_id is not null").collect()}
+    assert got == brute(of_class)
+
+
+def test_undecodable_is_told_from_empty():
+    assert chroma.broken(b"RIFFnothing") and not chroma.broken(b"") and not chroma.broken(None) and not chroma.broken(wav(np.zeros(100))) and not chroma.broken(wav(np.zeros(0)))
