@@ -53,29 +53,31 @@ from d join q on d.source is not distinct from q.source join e on d.source is no
 
 def op8() -> str:
     fits = " union all ".join(f"select page_id, rn, '{h}{p}' rule, '{v}' verdict from u where (host = '{h}' or ends_with(host, '.{h}')) and starts_with(path, '{p}')" for v, h, p in urls.RULES)
-    k = range(urls.ORDER + 1)
-    code = lambda j: f"coalesce(unicode(nullif(url[i - {j}:i - {j}], '')), 0)::bigint" if j else "unicode(url[i:i])::bigint"
-    padded = lambda j: f"(case when i > {j} then {code(j)} else 0 end)"
-    context = lambda n: " + ".join([f"{padded(j)} * {urls._BASE**j}" for j in range(1, n + 1)] or ["0"])
-    buckets = ", ".join(f"(({padded(0)} + {context(n)})::bigint % {urls.BUCKETS}) g{n}, (({context(n)})::bigint % {urls.BUCKETS}) c{n}" for n in k)
-    long = " union all ".join(f"select {i} kind, {x} b, verdict from c where verdict is not null" for i, x in enumerate([f"g{n}" for n in k] + [f"c{n}" for n in k]))
-    joins = " ".join(f"left join n n{x} on n{x}.kind = {i} and n{x}.b = c.{x}" for i, x in enumerate([f"g{n}" for n in k] + [f"c{n}" for n in k]))
+    width, orders = urls.ORDER + 1, range(urls.ORDER + 1)
+    own = lambda k: f"right(g, {k + 1})"
+    context = lambda k: f"left(right(g, {k + 1}), {k})"
+    tables = ", ".join(f"{t}{k} as materialized (select {f(k)} x, sum(allow) allow, sum(block) block from w group by 1)" for k in orders for t, f in (("n", own), ("m", context)))
+    joins = " ".join(f"left join {t}{k} on {t}{k}.x = {f(k)}" for k in orders for t, f in (("n", own), ("m", context)))
 
     def p(kind):
-        out = f"{1 / urls._ALPHABET!r}"
-        for n in k:
-            out = f"((coalesce(ng{n}.{kind}, 0) + {urls._PRIOR} * {out}) / (coalesce(nc{n}.{kind}, 0) + {urls._PRIOR}))"
+        out = f"{1 / urls._ALPHABET!r}::double"
+        for k in orders:
+            out = f"((coalesce(n{k}.{kind}, 0) + {urls._PRIOR} * {out}) / (coalesce(m{k}.{kind}, 0) + {urls._PRIOR}))"
         return out
 
     return rf"""
-with u as (select row_number() over () rn, page_id, url, case when contains(url, '://') then translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), '{_UP}', '{_LOW}') else '' end host,
+with u as (select row_number() over () rn, page_id, url, substr(md5(url), 1, 1) in ({', '.join(f"'{d}'" for d in urls.HELD_OUT)}) held, case when contains(url, '://') then translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), '{_UP}', '{_LOW}') else '' end host,
  case when contains(url, '://') then regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2) else '' end path from pages),
 f as (select rn, arg_max(rule, length(rule)) rule, arg_max(verdict, length(rule)) verdict from ({fits}) group by rn),
-c as materialized (select rn, verdict, {buckets} from (select rn, url, verdict, unnest(range(1, length(url) + 1)) i from u left join f using (rn))),
-n as materialized (select kind, b, count(*) filter (verdict = 'allow') allow, count(*) filter (verdict = 'block') block from ({long}) group by kind, b),
-s as (select rn, avg(ln({p('allow')}) - ln({p('block')})) score from c {joins} group by rn),
-m as (select (avg(score) filter (verdict = 'allow') + avg(score) filter (verdict = 'block')) / 2 middle from s join f using (rn))
-select page_id, host, path, rule, coalesce(verdict, case when score < middle then 'block' else 'allow' end) verdict from u left join f using (rn) left join s using (rn) cross join m"""
+c as materialized (select rn, case when not held then verdict end verdict, substr(repeat(chr({ord(urls._BEFORE)}), {urls.ORDER}) || url, i, {width}) g from (select rn, url, verdict, held, unnest(range(1, length(url) + 1)) i from u left join f using (rn))),
+w as materialized (select g, count(*) filter (verdict = 'allow') allow, count(*) filter (verdict = 'block') block from c group by g), {tables},
+r as materialized (select g, ln({p('allow')}) - ln({p('block')}) r from (select g from w) q {joins}),
+s as (select rn, avg(r) score from c join r using (g) group by rn),
+b as (select floor(score * {urls.BINS})::bigint b, count(*) filter (verdict = 'allow') a, count(*) filter (verdict = 'block') k from s join f using (rn) join u using (rn) where held group by 1),
+e as (select b, coalesce(lag(b) over (order by b) + 1, b) prior, (coalesce(sum(a) over (order by b rows between unbounded preceding and 1 preceding), 0) / nullif(sum(a) over (), 0))::double + 1 - (coalesce(sum(k) over (order by b rows between unbounded preceding and 1 preceding), 0) / nullif(sum(k) over (), 0))::double e
+ from (select * from b union all select max(b) + 1, 0, 0 from b having count(*) > 0)),
+t as (select coalesce((select (b + prior) / {2 * urls.BINS}.0 from e where e is not null order by round(e, 9), prior - b, b limit 1), 0) edge)
+select page_id, host, path, rule, coalesce(verdict, case when score < edge then 'block' else 'allow' end) verdict from u left join f using (rn) left join s using (rn) cross join t"""
 
 
 def op10(least: int = 50) -> str:

@@ -31,6 +31,7 @@ SECRETS = [
     (4, "secret=token:abcdefgh secret=token=abcdefgh"),
     (5, "ſecret=abcdefgh toKen=abcdefgh passwd=x.y"),
     (6, "ghp_" + "a1" * 20 + " -----BEGIN RSA PRIVATE KEY-----"),
+    (8, "éghp_" + "a1" * 20 + " éeyJ" + "a" * 12 + ".eyJ" + "b" * 12 + "." + "c" * 12),
     (7, 'password = "hunter22" and Token:abc, SECRET=\'a/b+c=d_e.f-g\''),
 ]
 
@@ -47,9 +48,12 @@ def test_secrets_match_sql_and_are_scanned_once(spark, docs):
     assert ledger.rows().count() == len(texts)
     ledger.scan(docs([*SECRETS, (99, "a new text with token=abcdefghi")]))
     assert ledger.rows().count() == len(texts) + 1
-    assert ledger.rows("another").count() == 0
-    ledger.scan(docs(SECRETS), rules="another")
-    assert ledger.rows("another").count() == len({t for _, t in SECRETS})
+    another = secrets.Rules((*secrets.RULES.kinds, ("vault", ("hvs.",), r"hvs\.[A-Za-z0-9]{4,}", 0, 8)))
+    assert another.version != secrets.RULES.version and ledger.rows(another).count() == 0
+    new = docs([*SECRETS, (50, "hvs.abcdef")])
+    ledger.scan(new, rules=another)
+    assert ledger.rows(another).count() == len({t for _, t in SECRETS}) + 1
+    assert [[s.kind for s in r.spans] for r in ledger.findings(new, rules=another).where("doc_id = 50").collect()] == [["vault"]]
     assert secrets.scan_documents(docs([]), path + "x").count() == 0
     found = {r.doc_id: [(s.kind, s.start, s.stop) for s in r.spans] for r in out.collect()}
     assert [k for k, _, _ in found[4]] == ["assign"] and found[3][0] == ("hex", 0, 24)
@@ -93,6 +97,26 @@ def test_urls_match_sql(spark, which):
         same(out, duck(oracle.op8(), pages=df))
 
 
+def test_urls_with_clashing_columns_and_long_ones(spark):
+    rnd = random.Random(4)
+    rows = [(i if i % 7 else None, f"http://{rnd.choice('abc')}.{rnd.choice(['org/fr', 'net', 'com/x', 'example.net/en'])}/{rnd.choice(['news', 'win'])}{rnd.randrange(30)}", *"abcdefgh") for i in range(300)]
+    rows.append((1000, "http://c.com/" + "long" * 5000, *"abcdefgh"))
+    df = spark.createDataFrame(rows, "page_id long, url string, host string, path string, rule string, g string, r string, at string, held string, ruled string")
+    out = urls.judge(df).drop("score")
+    same(out, duck(oracle.op8(), pages=df.select("page_id", "url")))
+    assert out.count() == len(rows)
+
+
+def test_threshold_is_the_least_error(spark):
+    rnd = random.Random(8)
+    rows = [(k, h, round(rnd.gauss(m, 1), 3)) for k, m in (("allow", 1.0), ("block", -0.5)) for h in (True, False) for _ in range(150)]
+    at, error = urls.threshold(spark.createDataFrame([*rows, ("allow", True, None)], "ruled string, held boolean, score double")).first()
+    held = [(k, s) for k, h, s in rows if h]
+    wrong = lambda t: sum(k == "allow" and s < t for k, s in held) / 300 + sum(k == "block" and s >= t for k, s in held) / 300
+    assert abs(wrong(at) - error) < 1e-9 and error <= min(wrong(i / 100) for i in range(-300, 300)) + 1e-9
+    assert tuple(urls.threshold(spark.createDataFrame([("allow", True, 1.0)], "ruled string, held boolean, score double")).first()) == (0.0, None)
+
+
 def test_url_parts_and_rules(spark):
     df = spark.createDataFrame([(u,) for u in URLS if u], "url string")
     got = {r.url: (r.h, r.p, r.rule) for r in df.select("url", *(c.alias(n) for c, n in zip(urls.host_path(q.F.col("url")), "hp", strict=True))).withColumn("rule", urls.rule_of(q.F.col("h"), q.F.col("p"))[0]).collect()}
