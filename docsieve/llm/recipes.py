@@ -8,10 +8,13 @@ from pyspark.sql.window import Window
 
 from docsieve.shared import cut, lower_az
 
-#: Characters of a chunk at least (but for a text's last) and at most.
+#: Bytes of a chunk at least (but for a text's last) and at most.
 SHORTEST, LONGEST = 512, 8192
-#: A chunk ends where its last four characters match: some one in 500 places of prose.
-BORDER = r"[bdhk-n][eo][dnrst][ \n]"
+#: Bytes by which chunks end: those that leave 5 on division by 8; of these, the ones inside longer letters.
+_ENDING, _INSIDE = ("".join(f"\\x{i:02x}" for i in range(first + 5, last, 8)) for first, last in ((0, 256), (128, 192)))
+#: A chunk ends where three such bytes are alike in place: every second one, or the last of three letters of three or four bytes
+#: each. In any script that is some one place in 300 to 500.
+BORDER = rf"[{_ENDING}].[{_ENDING}].[{_ENDING}]|[{_INSIDE}]..[{_INSIDE}]..[{_INSIDE}]|[{_INSIDE}]...[{_INSIDE}]...[{_INSIDE}]"
 
 
 def chunk_pattern(shortest: int = SHORTEST, longest: int = LONGEST, border: str = BORDER) -> str:
@@ -20,7 +23,8 @@ def chunk_pattern(shortest: int = SHORTEST, longest: int = LONGEST, border: str
 
 
 def _chunks(text: str, pattern: str) -> Column:
-    return F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(0))
+    """Chunks of the text's UTF-8 bytes, each byte as the character of that number."""
+    return F.regexp_extract_all(F.decode(F.col(text).cast("binary"), "ISO-8859-1"), F.lit(pattern), F.lit(0))
 
 
 def _digest(chunk: Column, key_chars: int) -> Column:
@@ -58,11 +62,12 @@ def exact_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", p
 
     Documents are equal if their recipes are, so if their texts are identical after lower-casing A-Z only. The largest key of
     a group stays. Rows that repeat a key and a text are marked alike. Null keys never win: a group of nothing else has a
-    null keep_id and stays. Groups are counted before they are shuffled, and only groups of several rows are joined back,
-    by identifier list, where adaptive execution splits the rows of a large one.
+    null keep_id and stays. Groups are counted before they are shuffled, and only groups of several rows are written and joined
+    back, by identifier list, where adaptive execution splits the rows of a large one. An empty table gives none; a very long
+    text is read whole, as one list of chunks; other columns of docs are left out, whatever their names.
     """
     own = cut(recipes(docs, key, text, pattern, key_chars), "recipes")
-    groups = own.groupBy("recipe").agg(F.max(key).alias("keep_id"), F.count(F.lit(1)).alias("group_size")).where("group_size > 1")
+    groups = cut(own.groupBy("recipe").agg(F.max(key).alias("keep_id"), F.count(F.lit(1)).alias("group_size")).where("group_size > 1"), "groups")
     out = own.join(groups, "recipe", "left")
     keep = F.when(F.col("group_size").isNull(), F.col(key)).otherwise(F.col("keep_id"))
     return out.select(key, keep.alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), F.col(key).eqNullSafe(keep).alias("kept"), "text_sha256")
