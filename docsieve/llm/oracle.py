@@ -81,21 +81,31 @@ select page_id, host, path, rule, coalesce(verdict, case when score < edge then
 
 
 def op10(least: int = 50) -> str:
-    """From the definition: windows are compared by their whole text."""
-    word = r"[^\x20\x09-\x0D]"
+    """From the definition: words and single white space as tokens, seams by the tokens before them, windows by their whole text."""
+    word, sep = r"[^\x20\x09-\x0D]", r"\A[ \t\n]\z"
+    seam = r"""t1 in (' ', chr(9)) and regexp_matches(t3, '\A[ \t\n]\z') and
+ ((regexp_matches(tok, '\A\p{Lu}') and not regexp_matches(t2, '[.!?]\z') and length(t2) <= 62
+   and (regexp_matches(t2, '\A\p{Ll}') or t2 = '|' or (regexp_matches(t2, '\A\p{Lu}') and regexp_matches(t4, '[.!?]\z'))))
+  or (regexp_matches(tok, '\A[\p{Ll}|]') and regexp_matches(t2, '[.!?]\z') and length(t2) <= 61 and (regexp_matches(t4, '[^ \t\n.!?]\z') or regexp_matches(t2, '\A\p{Lu}'))))"""
+    back = ", ".join(f"lag(tok, {i}) over w t{i}" for i in (1, 2, 3, 4))
     return rf"""
-with r as (select row_number() over () rn, doc_id, text, string_split(text, chr(10)) l from documents),
-x as (select rn, doc_id, text, l, list_filter(range(len(l)), lambda i: regexp_matches(l[i + 1], '{word}')) p from r where text is not null),
-w as (select rn, doc_id, text, list_transform(p, lambda i: l[i + 1]) q, list_transform(p, lambda i: len(regexp_extract_all(l[i + 1], '{word}+'))) n from x),
+with r as (select row_number() over () rn, doc_id, text from documents),
+tk as (select rn, unnest(tk) tok, generate_subscripts(tk, 1) j from (select rn, regexp_extract_all(text, '[^ \t\n]+|[ \t\n]') tk from r where text is not null)),
+tb as (select rn, j, tok, {back} from tk window w as (partition by rn order by j)),
+tc as (select rn, j, tok, sum(case when t1 = chr(10) or (not regexp_matches(t2, '{sep}') and {seam}) then 1 else 0 end) over (partition by rn order by j) piece from tb),
+tp as (select rn, piece, string_agg(tok, '' order by j) x from tc group by rn, piece),
+pl as (select rn, list(x order by piece) l from tp group by rn),
+x as (select rn, doc_id, text, l, list_filter(range(len(l)), lambda i: regexp_matches(l[i + 1], '{word}')) p from r join pl using (rn)),
+w as (select rn, doc_id, text, list_transform(p, lambda i: regexp_replace(regexp_replace(l[i + 1], '\A[\x20\x09-\x0D]+', ''), '[\x20\x09-\x0D]+\z', '')) q, list_transform(p, lambda i: len(regexp_extract_all(l[i + 1], '{word}+'))) n from x),
 b as (select rn, doc_id, q, n, unnest(range(1, len(q) + 1)) s from w),
 k as (select rn, doc_id, q, n, s, unnest(range(1, least({least}, greatest(s, len(q) - s + 1)) + 1)) m from b),
 v as (select distinct rn, doc_id, s, m, array_to_string(q[s:s + m - 1], chr(10)) c from k where s + m - 1 <= len(q) and list_sum(n[s:s + m - 1]) >= {least} and coalesce(list_sum(n[s:s + m - 2]), 0) < {least}
  union select distinct rn, doc_id, s - m + 1, m, array_to_string(q[s - m + 1:s], chr(10)) from k where s - m + 1 >= 1 and list_sum(n[s - m + 1:s]) >= {least} and coalesce(list_sum(n[s - m + 2:s]), 0) < {least}),
-f as (select rn, s, m from (select rn, s, m, row_number() over (partition by c, m order by doc_id nulls first, s) i from v) where i > 1),
+f as (select rn, s, m from (select rn, s, m, row_number() over o i, first_value(rn) over o first_rn, first_value(s) over o first_s from v window o as (partition by c, m order by doc_id nulls first, s)) where i > 1 and not (rn = first_rn and s < first_s + m)),
 g as (select distinct rn, unnest(range(s, s + m)) s from f),
 o as (select rn, min(s) - 1 a, max(s) - 1 b from (select rn, s, s - row_number() over (partition by rn order by s) i from g) group by rn, i),
 z as (select rn, sum(b - a + 1)::bigint n_cut, string_agg(a || '-' || b, ',' order by a) runs, list(a order by a) aa, list(b order by a) bb from o group by rn),
-y as (select rn, n_cut, runs, array_to_string(list_transform(list_filter(range(len(l)), lambda i: not list_bool_or(list_transform(range(len(aa)), lambda j: i between p[aa[j + 1] + 1] and p[bb[j + 1] + 1]))), lambda i: l[i + 1]), chr(10)) kept from z join x using (rn))
+y as (select rn, n_cut, runs, array_to_string(list_transform(list_filter(range(len(l)), lambda i: not list_bool_or(list_transform(range(len(aa)), lambda j: i between p[aa[j + 1] + 1] and p[bb[j + 1] + 1]))), lambda i: l[i + 1]), '') kept from z join x using (rn))
 select doc_id, coalesce(n_cut, 0) n_cut, coalesce(runs, '') runs, sha256(case when n_cut is null then coalesce(text, '') else kept end) kept_sha256 from r left join y using (rn)"""
 
 

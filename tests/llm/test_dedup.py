@@ -1,5 +1,6 @@
 import hashlib
 import random
+import unicodedata
 from collections import defaultdict
 
 import pytest
@@ -103,24 +104,58 @@ def test_ball_links_every_distance(spark):
         assert all(any(0 < bin((a ^ b) % 2**64).count("1") <= distance for b in signed) for a in got)
 
 
+def upper(c):
+    return unicodedata.category(c) == "Lu"
+
+
+def lower(c):
+    return unicodedata.category(c) == "Ll"
+
+
+def parts(text):
+    """Cut behind newlines and at seams, told character by character."""
+    out, start = [], 0
+    for i in range(1, len(text)):
+        seam = text[i - 1] == "\n"
+        if text[i - 1] in " \t":
+            j = i - 1
+            while j > 0 and text[j - 1] not in " \t\n":
+                j -= 1
+            last = text[j : i - 1]
+            if last and j > 0:
+                ends = last[-1] in ".!?"
+                before = text[j - 2] if j > 1 else " "
+                if upper(text[i]) and not ends and len(last) <= 62 and (lower(last[0]) or last == "|" or upper(last[0]) and before in ".!?"):
+                    seam = True
+                if (lower(text[i]) or text[i] == "|") and ends and len(last) <= 61 and (before not in " \t\n.!?" or upper(last[0])):
+                    seam = True
+        if seam:
+            out.append(text[start:i])
+            start = i
+    return [*out, text[start:]]
+
+
 def brute_runs(rows, least):
-    """Every run of every length is compared: lines of runs of least words or more that are there before."""
+    """Every run of every length is compared: lines of runs of least words or more that are there before, without overlap."""
     rows = sorted(set(rows), key=lambda r: -(2**63) if r[0] is None else r[0])
-    seqs = [(d, t, [(i, x) for i, x in enumerate(t.split("\n")) if x.split()]) for d, t in rows if t is not None]
+    seqs = [(d, t, [(i, x.strip()) for i, x in enumerate(parts(t)) if x.split()]) for d, t in rows if t is not None]
     first, gone = {}, defaultdict(set)
     for n, (_, _, lines) in enumerate(seqs):
+        words = [len(x.split()) for _, x in lines]
         for s in range(len(lines)):
             for e in range(s + 1, len(lines) + 1):
-                run = tuple(x for _, x in lines[s:e])
-                if sum(len(x.split()) for x in run) >= least and first.setdefault(run, (n, s)) != (n, s):
-                    gone[n] |= set(range(s, e))
+                fewest = sum(words[s:e]) >= least and (sum(words[s + 1 : e]) < least or sum(words[s : e - 1]) < least)
+                if fewest:
+                    m, at = first.setdefault(tuple(x for _, x in lines[s:e]), (n, s))
+                    if (m, at) != (n, s) and not (m == n and s < at + e - s):
+                        gone[n] |= set(range(s, e))
     out = {(d, t): t for d, t in rows}
     for n, cut in gone.items():
         d, t, lines = seqs[n]
         drop = set()
         for s in cut:
             drop |= set(range(lines[s][0], lines[s + 1][0] if s + 1 in cut else lines[s][0] + 1))
-        out[d, t] = "\n".join(x for i, x in enumerate(t.split("\n")) if i not in drop)
+        out[d, t] = "".join(x for i, x in enumerate(parts(t)) if i not in drop)
     return out
 
 
@@ -129,8 +164,8 @@ def test_line_runs_against_all_runs(docs):
     pool = [" ".join(f"{c}{rnd.randrange(99)}" for _ in range(rnd.choice([1, 2, 5, 9]))) for c in "abcdefgh"]
     rows = [r for r in ODD if r[0] not in (7, 8)] + [(7, "word " * 100), (8, "word " * 100)]
     for i in range(40):
-        rows.append((10 + i, "\n".join(rnd.choice([*pool, "", "  "]) for _ in range(rnd.randrange(1, 25)))))
-    rows += [(60, rows[-1][1]), (61, rows[-2][1] + "\n" + rows[-3][1])]
+        rows.append((10 + i, rnd.choice(["\n", "\n", ". ", " End of it. go on ", " | ", " Yes. no ", ". Now Some "]).join(rnd.choice([*pool, "", "  ", "Big start of it. then"]) for _ in range(rnd.randrange(1, 25)))))
+    rows += [(60, rows[-1][1]), (61, rows[-2][1] + "\n" + rows[-3][1]), (62, "one two three four five\n" * 40)]
     for least in (1, 12, 50):
         expected = brute_runs(rows, least)
         got = lineruns.dedup_lines(docs(rows), least).collect()
@@ -139,9 +174,23 @@ def test_line_runs_against_all_runs(docs):
             assert r.text in {v for (d, _), v in expected.items() if d == r.doc_id}, (least, r.doc_id)
         assert sorted(str(r.text) for r in got) == sorted(str(expected[x]) for x in rows)
         assert {r.blob for r in got} == {7}
+    assert {r.doc_id: r.text for r in got}[62] == "one two three four five\n" * 10  # a whole copy stays
     assert lineruns.dedup_lines(docs([])).count() == 0
 
 
+def test_passages_inside_lines_go_but_once(spark, docs):
+    rnd = random.Random(6)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(5))
+    sentence = lambda n: " ".join(word() for _ in range(n)).capitalize() + "."
+    passage = " ".join(sentence(13) for _ in range(4))
+    host = [" ".join(word() for _ in range(60)) for _ in range(12)]
+    rows = [(i, f"Start {h[:149]} {passage} {h[150:]}" if i % 2 else f"{h}\n{passage}\n{h[::-1]}") for i, h in enumerate(host)]
+    keyed = docs(rows).selectExpr("concat('key', lpad(doc_id, 3, '0')) doc_id", "text", "lang d", "source t")
+    got = {r.doc_id: r.text for r in lineruns.dedup_lines(keyed).collect()}
+    assert sum(passage in t for t in got.values()) == 1 and passage in got["key000"]
+    assert all(got[f"key{i:03}"].replace(" ", "").replace("\n", "") == t.replace(passage, "").replace(" ", "").replace("\n", "") for i, t in rows if i)
+
+
 def test_near_copies_of_the_stage_against_all_pairs(spark, docs):
     from docsieve.llm import nearcopies
 
