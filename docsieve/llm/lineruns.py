@@ -16,9 +16,10 @@ _SPACE = " \t\n\x0b\x0c\r"
 #: word in lower case, or after a sentence's first word, that ends no sentence; before lower case after the end of a sentence,
 #: of several words if the last of them has no capital; at the bars of a table's cells. A seam has one space or tab, and the
 #: word before it 62 characters at most.
+#: Looks back over one or two characters come first, as those over a word are dear.
 SEAM = (
-    r"(?<=\n)|(?<=[ \t])(?:(?=\p{Lu})(?:(?<=[ \t\n]\p{Ll}(?:[^ \t\n]{0,60}[^ \t\n.!?])?[ \t])|(?<=[.!?][ \t\n]\p{Lu}(?:[^ \t\n]{0,60}[^ \t\n.!?])?[ \t])|(?<=[ \t\n]\|[ \t]))"
-    r"|(?=[\p{Ll}|])(?:(?<=[^ \t\n.!?][ \t\n][^ \t\n]{0,60}[.!?][ \t])|(?<=[ \t\n]\p{Lu}[^ \t\n]{0,59}[.!?][ \t])))"
+    r"(?<=[\n \t])(?:(?<=\n)|(?<=[^ \t\n.!?][ \t])(?=\p{Lu})(?:(?<=[ \t\n]\p{Ll}[^ \t\n]{0,61}[ \t])|(?<=[.!?][ \t\n]\p{Lu}[^ \t\n]{0,61}[ \t])|(?<=[ \t\n]\|[ \t]))"
+    r"|(?<=[.!?][ \t])(?=[\p{Ll}|])(?:(?<=[^ \t\n.!?][ \t\n][^ \t\n]{0,60}[.!?][ \t])|(?<=[ \t\n]\p{Lu}[^ \t\n]{0,59}[.!?][ \t])))"
 )
 _DOC = ["z", "d", "t"]
 _PLACE = [*_DOC, "seq"]
