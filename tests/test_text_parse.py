@@ -16,6 +16,13 @@ def test_stems():
     assert {w: text.stem(w) for w in STEMS} == STEMS
 
 
+def test_both_stemmers_agree(spark):
+    heads = ["a", "be", "tr", "stop", "agr", "siz", "hop", "fly", "bl", "iz", "pass", "lov", "fall", "ss", "wax", "tabl", "queu", "y"]
+    words = sorted({h + m + e for h in heads for m in ("", "at", "e", "pp", "y", "i") for e in ("", "s", "es", "ies", "sses", "ed", "eed", "ing", "us", "is", "y", "ys")})
+    got = {r.w: r.term for r in text.tokens(spark.createDataFrame([(w, w) for w in words], "w string, t string").withColumnRenamed("w", "key"), "t").selectExpr("key w", "term").collect()}
+    assert len(got) > 500 and got == {w: text.stem(w) for w in got}
+
+
 def test_tokens_are_the_same_in_a_table(spark):
     assert text.tokenize("§3.8(d)(1)") == ["3.8", "3.8d1"] and text.tokenize("SWR 3.13") == ["swr", "13", "3.13"]
     rows = [(i, t) for i, t in enumerate([*TEXTS, " ".join(STEMS)])]
@@ -53,16 +60,28 @@ def test_front_matter(spark):
     assert r.b.startswith("# Head") and (h.title, p.title, p.fm, p.c) == ("Only head", "file", {}, False)
 
 
+def cut_by_hand(text):
+    """Long text by index arithmetic, where parse uses one pattern."""
+    parts = []
+    while len(text) > 1600:
+        ends = [i for i in range(600, 1401) if text.startswith("\n\n", i)] or [i for i in range(600, 1401) if text.startswith(". ", i)] or [1200]
+        parts, text = [*parts, text[: ends[-1] + 1]], text[ends[-1] + 1 :]
+    return [p.strip() for p in [*parts, text] if p.strip()]
+
+
 def test_chunks(spark):
-    assert parse.chunk("intro\n# A\none\n## B\ntwo\n# C\n") == [("", [], "intro"), ("A", ["A"], "one"), ("B", ["A", "B"], "two")]
-    assert parse.chunk("") == [("", [], "")]
     long = "# H\n" + "Sentence number one is here. " * 200
-    parts = parse.chunk(long)
-    assert len(parts) > 3 and parts[0][0] == "H · 1" and all(len(t) <= 1600 for _, _, t in parts)
-    assert "".join(t.replace(" ", "") for _, _, t in parts) == long[4:].replace(" ", "").strip()
-    assert len(parse.split_long("x" * 5000)) == 4
-    rows = parse.chunks(spark.createDataFrame([(1, "# A\none"), (2, None)], "id int, body string")).collect()
-    assert {(r.id, r.pos, r.heading, r.text) for r in rows} == {(1, 0, "A", "one"), (2, 0, "", "")}
+    mixed = "".join("word " * (i % 90) + (". " if i % 3 else "\n\n") for i in range(300))
+    bodies = ["intro\n# A\none\n## B\ntwo\n# C\n", "", long, "# A\none", None, "# T *x*\r\n### D\r\nd\r\nd2\r\n## `E`\ne\n# \n####### no\nf", mixed, "x" * 5000, "# only\n## heads"]
+    got = {}
+    for r in parse.chunks(spark.createDataFrame(list(enumerate(bodies)), "id int, body string")).orderBy("id", "pos").collect():
+        got.setdefault(r.id, []).append((r.heading, r.heading_path, r.text))
+    assert got[0] == [("", [], "intro"), ("A", ["A"], "one"), ("B", ["A", "B"], "two")]
+    assert got[1] == got[4] == [("", [], "")] and got[3] == [("A", ["A"], "one")]
+    assert got[2][0][0] == "H · 1" and [t for _, _, t in got[2]] == cut_by_hand(long[4:].strip()) and len(got[2]) > 3
+    assert got[5] == [("D", ["T x", "D"], "d\nd2"), ("E", ["T x", "E"], "e"), ("", [""], "####### no\nf")]
+    assert [t for _, _, t in got[6]] == cut_by_hand(mixed.strip()) and len(got[6]) > 10
+    assert len(got[7]) == 4 and got[8] == [("", [], "# only\n## heads")]
 
 
 def test_dense_ids(spark):
