@@ -14,12 +14,13 @@ SHORTEST, LONGEST = 512, 8192
 _ENDING, _INSIDE = ("".join(f"\\x{i:02x}" for i in range(first + 5, last, 8)) for first, last in ((0, 256), (128, 192)))
 #: A chunk ends where three such bytes are alike in place: every second one, or the last of three letters of three or four bytes
 #: each. In any script that is some one place in 300 to 500.
-BORDER = rf"[{_ENDING}].[{_ENDING}].[{_ENDING}]|[{_INSIDE}]..[{_INSIDE}]..[{_INSIDE}]|[{_INSIDE}]...[{_INSIDE}]...[{_INSIDE}]"
+#: The last byte is looked at first, as one in eight has the others looked at.
+BORDER = rf"(?<=[{_ENDING}])(?:(?<=[{_ENDING}].[{_ENDING}]..)|(?<=[{_INSIDE}])(?:(?<=[{_INSIDE}]..[{_INSIDE}]...)|(?<=[{_INSIDE}]...[{_INSIDE}]....)))"
 
 
 def chunk_pattern(shortest: int = SHORTEST, longest: int = LONGEST, border: str = BORDER) -> str:
     """Matches chunk after chunk: the least length from shortest on that ends at a border or the text's end, else the longest."""
-    return rf"(?s).{{{shortest},{longest}}}?(?:(?<={border})|\z)|.{{{longest}}}|.+\z"
+    return rf"(?s).{{{shortest},{longest}}}?(?:{border}|\z)|.{{{longest}}}|.+\z"
 
 
 def _chunks(text: str, pattern: str) -> Column:
