@@ -12,7 +12,7 @@ from pyspark.sql.window import Window
 
 from docsieve.functions.canonical import canonical, canonical_json, sha256
 from docsieve.operators.citations import recheck
-from docsieve.shared import _path
+from docsieve.shared import _path, put_file
 
 GENESIS = "0" * 64
 ENTRY = "seq bigint, ts string, kind string, prev_hash string, payload string, entry_hash string"
@@ -27,54 +27,74 @@ def seal_column(payload: str = "payload") -> Column:
 
 
 class Ledger:
-    """path is a file of any Hadoop file system; one writer at a time. ts isn't sealed."""
+    """path is a folder of any Hadoop file system with a file of JSON lines for each append, named by its first seq; ts isn't sealed.
+
+    A file is created once and never rewritten, and its name is taken by the first to ask for it: of two writers one fails, and
+    nothing that is sealed is touched again. Only the last file is read to append. A single file of JSON lines at path can be
+    read and verified as well, and is the first segment if more is appended.
+    """
 
     def __init__(self, spark: SparkSession, path: str, now: Callable[[], str] | None = None):
-        self.spark, self.path = spark, path
+        self.spark, self.path = spark, path.rstrip("/")
         self.now = now or (lambda: datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%S.%fZ"))
 
-    def _lines(self) -> list[str]:
+    def last(self) -> dict | None:
         fs, at = _path(self.spark, self.path)
         if not fs.exists(at):
-            return []
-        return [r.value for r in self.spark.read.text(self.path, wholetext=True).collect()][0].split("\n")
+            return None
+        if fs.getFileStatus(at).isFile():
+            whole = self.path
+        else:
+            names = sorted(x.getPath().getName() for x in fs.listStatus(at) if x.getPath().getName().endswith(".jsonl"))
+            if not names:
+                return None
+            whole = f"{self.path}/{names[-1]}"
+        lines = self.spark.read.text(whole).where(F.trim("value") != "").tail(1)
+        return json.loads(lines[0].value) if lines else None
 
     def append(self, kind: str, payload) -> dict:
         return self.extend([(kind, payload)])[0]
 
     def extend(self, items: list[tuple]) -> list[dict]:
-        """Seals items one after another behind the last entry and writes them at once."""
-        lines = [x for x in self._lines() if x.strip()]
-        seq, prev, out = len(lines), json.loads(lines[-1])["entry_hash"] if lines else GENESIS, []
+        """Seals items one after another behind the last entry and writes them as one new file."""
+        if not items:
+            return []
+        before = self.last()
+        seq, prev, out = (before["seq"] + 1, before["entry_hash"], []) if before else (0, GENESIS, [])
+        first = seq
         for kind, payload in items:
             entry = {"seq": seq, "ts": self.now(), "kind": kind, "prev_hash": prev, "payload": payload, "entry_hash": seal(seq, prev, kind, payload)}
             out.append(entry)
             seq, prev = seq + 1, entry["entry_hash"]
         fs, at = _path(self.spark, self.path)
-        new = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}.tmp")
-        fs.setWriteChecksum(False)  # the seals tell what was changed; a local file's checksum would hide it behind an error
-        try:
-            stream = fs.create(new, True)
-            stream.write(bytearray("".join(f"{x}\n" for x in [*lines, *(json.dumps(e, ensure_ascii=False) for e in out)]).encode()))
-            stream.close()
-        finally:
-            fs.setWriteChecksum(True)
-        fs.delete(at, False)
-        fs.rename(new, at)
+        if fs.exists(at) and fs.getFileStatus(at).isFile():  # becomes the first segment
+            aside = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}.first")
+            fs.rename(at, aside)
+            fs.mkdirs(at)
+            fs.rename(aside, self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{_segment(0)}"))
+        put_file(self.spark, f"{self.path}/{_segment(first)}", "".join(f"{json.dumps(e, ensure_ascii=False)}\n" for e in out), new=True)
         return out
 
     def entries(self) -> DataFrame:
         return entries(self.spark, self.path)
 
 
+def _segment(first: int) -> str:
+    return f"{first:020}.jsonl"
+
+
 def entries(spark: SparkSession, path: str) -> DataFrame:
-    """(line_no, seq, ts, kind, prev_hash, payload, entry_hash) in file order; payload in canonical JSON. A missing file is empty."""
+    """(line_no, seq, ts, kind, prev_hash, payload, entry_hash): line_no is a file's number plus the place in it; payload in canonical JSON.
+
+    Files are read side by side, each by one task. A missing ledger is empty.
+    """
     fs, at = _path(spark, path)
-    if not fs.exists(at):
-        return spark.createDataFrame([], f"line_no int, {ENTRY}")
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("line_no", "v")).where(F.trim("v") != "")
+    if not fs.exists(at) or (fs.getFileStatus(at).isDirectory() and not len(fs.listStatus(at))):
+        return spark.createDataFrame([], f"line_no bigint, {ENTRY}")
+    first = F.coalesce(F.regexp_extract(F.col("_metadata.file_name"), r"^(\d{20})\.jsonl$", 1).try_cast("bigint"), F.lit(0))
+    lines = spark.read.text(path, wholetext=True).select(first.alias("first"), F.posexplode(F.split("value", "\n")).alias("at", "v")).where(F.trim("v") != "")
     get = lambda f, t="string": F.get_json_object("v", f"$.{f}").cast(t).alias(f)
-    return lines.select("line_no", get("seq", "bigint"), get("ts"), get("kind"), get("prev_hash"), canonical(F.get_json_object("v", "$.payload")).alias("payload"), get("entry_hash"))
+    return lines.select((F.col("first") + F.col("at")).alias("line_no"), get("seq", "bigint"), get("ts"), get("kind"), get("prev_hash"), canonical(F.get_json_object("v", "$.payload")).alias("payload"), get("entry_hash"))
 
 
 def verify(chain: DataFrame, order: str = "line_no", by: list[str] | None = None) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Callable, Iterator
 
@@ -16,6 +17,8 @@ from docsieve.shared import cut
 
 #: Embedded chunks up to which pairs are found exactly.
 EXACT_UP_TO = 2_000
+#: Pairs of one passage beyond that.
+PER_ITEM = 50
 #: Rows of a block of vectors in the exact comparison.
 BLOCK = 512
 
@@ -122,24 +125,54 @@ class VectorIndex:
         w = Window.partitionBy("query").orderBy(F.desc("score"), "id")
         return scored.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k).drop("r")
 
-    def pairs(self, vectors: DataFrame, threshold: float = 0.9, key: str = "vec_id", vec: str = "embedding") -> DataFrame:
-        """(i, j, score): pairs that share a signature, each once, with their exact cosine from threshold on."""
-        s = cut(self.signatures(vectors, key, vec), "signatures")
+    @classmethod
+    def for_threshold(cls, dims: int, threshold: float, items: int, recall: float = 0.99, seed: int = 1) -> VectorIndex:
+        """Settings by which two items at the threshold share a signature with probability recall, and more above it.
+
+        A sign is alike with probability p = 1 - angle / pi. Bits grow with the logarithm of the items, so that strangers who
+        meet stay in proportion to the items; as many tables are made as the bits need.
+        """
+        bits = max(4, min(20, round(math.log2(max(items, 2))) - 1))
+        alike = (1 - math.acos(max(-1.0, min(1.0, threshold))) / math.pi) ** bits
+        tables = 1 if alike >= 1 else math.ceil(math.log(1 - recall) / math.log1p(-alike))
+        return cls(dims, bits, max(1, tables), seed)
+
+    def pairs(self, vectors: DataFrame, threshold: float = 0.9, key: str = "vec_id", vec: str = "embedding", per_item: int | None = None) -> DataFrame:
+        """(i, j, score): pairs that share a signature, each once, with their exact cosine from threshold on; see capped() for per_item.
+
+        Vectors of zeros have no direction: they are in no bucket, as their cosine is 0, unless the threshold asks for that too.
+        """
+        s = self.signatures(vectors, key, vec)
+        s = cut(s.where(F.exists("unit", lambda x: x != 0)) if threshold > 0 else s, "signatures")
         units = s.where("t = 0").select("id", "unit")
         near = s.select(F.col("id").alias("i"), "t", "sig").join(s.select(F.col("id").alias("j"), "t", "sig"), ["t", "sig"]).where("i < j").select("i", "j").distinct()
         both = near.join(units.select(F.col("id").alias("i"), F.col("unit").alias("a")), "i").join(units.select(F.col("id").alias("j"), F.col("unit").alias("b")), "j")
-        return both.select("i", "j", _dot("a", "b").alias("score")).where(F.col("score") >= threshold)
-
-    @staticmethod
-    def greedy(pairs: DataFrame, per_item: int) -> list[tuple[int, int, float]]:
-        """Pairs by falling score, kept while both ends have fewer than per_item: each step needs the last, so it streams through the driver."""
-        used: dict[int, int] = {}
-        out = []
-        for r in pairs.orderBy(F.desc("score"), "i", "j").toLocalIterator():
-            if used.get(r.i, 0) < per_item and used.get(r.j, 0) < per_item:
-                used[r.i], used[r.j] = used.get(r.i, 0) + 1, used.get(r.j, 0) + 1
-                out.append((r.i, r.j, r.score))
-        return out
+        found = both.select("i", "j", _dot("a", "b").alias("score")).where(F.col("score") >= threshold)
+        return capped(found, per_item) if per_item else found
+
+
+def capped(pairs: DataFrame, per_item: int) -> DataFrame:
+    """The (i, j, score) that are kept if pairs are taken by falling score, then i and j, while both ends have fewer than per_item.
+
+    In rounds, without an order of all: a pair is taken once those still open at either end leave it room, whatever becomes of
+    the better ones; pairs of an end that is full go. The best open pair of all is decided in every round.
+    """
+    order = [F.desc("score"), "i", "j"]
+    open_, taken = cut(pairs.select("i", "j", "score", F.lit(per_item).alias("ri"), F.lit(per_item).alias("rj")), "open"), []
+    while not open_.isEmpty():
+        ends = open_.select("i", "j", F.explode(F.array(F.struct(F.col("i").alias("e"), F.col("ri").alias("room")), F.struct(F.col("j").alias("e"), F.col("rj").alias("room")))).alias("x"), "score")
+        ends = ends.select("i", "j", "score", "x.e", "x.room").withColumn("r", F.row_number().over(Window.partitionBy("e").orderBy(*order)))
+        yes = cut(ends.groupBy("i", "j", "score").agg(F.count_if(F.col("r") <= F.col("room")).alias("n")).where("n = 2").select("i", "j", "score"), "taken")
+        taken.append(yes)
+        used = yes.select(F.explode(F.array("i", "j")).alias("e")).groupBy("e").agg(F.count(F.lit(1)).cast("int").alias("u"))
+        rest = open_.join(yes.select("i", "j"), ["i", "j"], "left_anti")
+        for end in ("i", "j"):
+            rest = rest.join(used.toDF(end, f"u{end}"), end, "left").withColumn(f"r{end}", F.col(f"r{end}") - F.coalesce(f"u{end}", F.lit(0))).drop(f"u{end}")
+        open_ = cut(rest.where("ri > 0 and rj > 0").select("i", "j", "score", "ri", "rj"), "open")
+    out = pairs.select("i", "j", "score").limit(0)
+    for more in taken:
+        out = out.unionByName(more)
+    return out
 
 
 def _dot(a: str, b: str) -> Column:
@@ -149,13 +182,14 @@ def _dot(a: str, b: str) -> Column:
 def similar_notes(chunks: DataFrame, notes: DataFrame, threshold: float = 0.82, most: int = 25, ann: bool | None = None) -> DataFrame:
     """The best pair of passages (chunk_id, rel, vec ...) of each pair of notes, most pairs by falling similarity; no derived cards.
 
-    Exact for EXACT_UP_TO passages, above by signatures (16 bits, 12 tables), unless ann says which.
+    Exact for EXACT_UP_TO passages, and for any number if ann is False. Beyond it by signatures, whose settings follow from the
+    threshold: a pair at it is found with probability 0.99, one above it more surely; then a passage has PER_ITEM pairs at most.
     """
     rows = cut(chunks.where(~F.col("rel").startswith("cards/") & (F.size("vec") > 0)), "embedded")
     n = rows.count()
     if ann if ann is not None else n > EXACT_UP_TO:
         dims = rows.select(F.max(F.size("vec"))).first()[0]
-        found = VectorIndex(dims, 16, 12, 1).pairs(rows, threshold, "chunk_id", "vec").withColumnRenamed("score", "sim")
+        found = VectorIndex.for_threshold(dims, threshold, n).pairs(rows, threshold, "chunk_id", "vec", PER_ITEM).withColumnRenamed("score", "sim")
     else:
         found = exact_pairs(rows, threshold, "chunk_id", "vec", "rel")
     about = rows.select("chunk_id", "rel", "heading", "text").join(notes.select("rel", "controlled"), "rel")
@@ -215,6 +249,42 @@ class EmbeddingStore:
         found = self.misses(chunks).select("key", "text").mapInArrow(run, "key string, vec array<float>")
         found.where("vec is not null").write.mode("append").parquet(self.path)
 
+    def adopt(self, folder: str) -> int:
+        """Takes over vectors of an older cache in folder, as far as they are whole; how many are new.
+
+        It is either manifest.json (model, dim, count, hashes) with vectors.f32 beside it, or folder.json, an object of hash to
+        vector. A manifest of another model, or a blob shorter than it says, is ignored; what a blob has beyond it, as a write
+        that was cut short leaves, is too.
+        """
+        from docsieve.shared import _path
+
+        def raw(path: str) -> bytes | None:
+            fs, at = _path(self.spark, path)
+            return bytes(self.spark.read.format("binaryFile").load(path).first().content) if fs.exists(at) else None
+
+        rows: list[tuple[str, list[float]]] = []
+        manifest, blob = raw(f"{folder}/manifest.json"), raw(f"{folder}/vectors.f32")
+        if manifest is not None:
+            try:
+                m = json.loads(manifest)
+                whole = m["model"] == self.model and len(blob or b"") >= 4 * m["dim"] * len(m["hashes"])
+            except (ValueError, KeyError, TypeError):
+                whole = False
+            if whole:
+                vectors = np.frombuffer(blob, "<f4", m["dim"] * len(m["hashes"])).reshape(-1, m["dim"])
+                rows = list(zip(m["hashes"], vectors.tolist(), strict=True))
+        elif (old := raw(f"{folder.rstrip('/')}.json")) is not None:
+            try:
+                rows = [(k, [float(x) for x in v]) for k, v in json.loads(old).items()]
+            except (ValueError, AttributeError, TypeError):
+                rows = []
+        if not rows:
+            return 0
+        new = self.spark.createDataFrame(rows, "key string, vec array<float>").dropDuplicates(["key"]).join(self.rows().select("key"), "key", "left_anti")
+        new = cut(new, "adopted")
+        new.write.mode("append").parquet(self.path)
+        return new.count()
+
     def attach(self, chunks: DataFrame) -> DataFrame:
         """chunks with vec, null where it isn't embedded yet."""
         return self.keyed(chunks).join(self.rows().dropDuplicates(["key"]).withColumnRenamed("key", "_key"), "_key", "left").drop("_key", "_text")

@@ -217,6 +217,35 @@ def bounded(raw: bytes, ext: str, timeout_ms: int = TIMEOUT_MS, fn: Callable = e
         p.join()
 
 
+#: Pages that are read by sight at most.
+OCR_PAGES = 20
+
+
+def ocr_note(pages: int) -> str:
+    """What a text read by sight says of itself, its cut included."""
+    return f"ocr: first {OCR_PAGES} of {pages} pages" if pages > OCR_PAGES else "ocr"
+
+
+def ocr_key(path: Column, mtime_ms: Column, size: Column) -> Column:
+    """A file's identity in a cache of such texts: another time or size is another file."""
+    return F.sha1(F.concat_ws(":", path, mtime_ms.cast("string"), size.cast("string")))
+
+
+def with_cached_ocr(files: DataFrame, cache: str, ocr: Callable[[bytes], str], timeout_ms: int = TIMEOUT_MS) -> DataFrame:
+    """extracted() of files (path, mtime_ms, ext, content ...), by sight only where the Parquet table at cache hasn't the text yet, which it then has."""
+    from docsieve.shared import _path, cut
+
+    spark = files.sparkSession
+    keyed = files.withColumn("_key", ocr_key(F.col("path"), F.col("mtime_ms"), F.length("content")))
+    fs, at = _path(spark, cache)
+    known = spark.read.schema("_key string, _seen string, _how string").parquet(cache) if fs.exists(at) else spark.createDataFrame([], "_key string, _seen string, _how string")
+    old = keyed.join(known.dropDuplicates(["_key"]), "_key").drop("content").select(*[c for c in files.columns if c != "content"], F.col("_seen").alias("text"), F.lit(True).alias("ok"), F.col("_how").alias("note"), F.lit(False).alias("timed_out"))
+    old = cut(old, "ocr-known")
+    new = cut(extracted(keyed.join(known.select("_key"), "_key", "left_anti"), timeout_ms, ocr=ocr), "ocr-new")
+    new.where("ok and note like 'ocr%'").select("_key", F.col("text").alias("_seen"), F.col("note").alias("_how")).write.mode("append").parquet(cache)
+    return old.unionByName(new.drop("_key"))
+
+
 def extracted(files: DataFrame, timeout_ms: int = TIMEOUT_MS, fn: Callable = extract, ocr: Callable[[bytes], str] | None = None) -> DataFrame:
     """files (ext, content ...) with text, ok, note, timed_out in place of content. ocr gets PDFs without text, unless time ran out."""
     rest = [c for c in files.columns if c != "content"]
@@ -229,7 +258,7 @@ def extracted(files: DataFrame, timeout_ms: int = TIMEOUT_MS, fn: Callable = ext
                 if ocr and ext == ".pdf" and not r["ok"] and not r["timed_out"]:
                     try:
                         if text := tidy(ocr(raw)):
-                            r |= {"text": text, "ok": True, "note": "ocr"}
+                            r |= {"text": text, "ok": True, "note": ocr_note(len(re.findall(rb"/Type\s*/Page\b", raw)))}
                     except Exception as e:  # noqa: BLE001
                         r["note"] += f"; ocr: {e}"[:100]
                 one = b.slice(i, 1)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docsieve.shared import file_names
+
 TURNS = "id string, date string, title string, n_turns int, body string"
 
 
@@ -51,7 +53,7 @@ def chat_exports(spark: SparkSession, path: str) -> DataFrame:
     return transcripts(turns, "id", ["time", "node"]).join(about, "id").select("id", "date", "title", "n_turns", "body")
 
 
-def turn_logs(spark: SparkSession, path: str) -> DataFrame:
+def turn_logs(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """(file, line, ts, role, text) of agents' JSON lines, whose fields go by several names."""
     lines = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", "\n")).alias("line", "v"))
     first = lambda *names: F.coalesce(*(F.get_json_object("v", f"$.{n}") for n in names))
@@ -63,3 +65,52 @@ def owned(sessions: DataFrame, notes: DataFrame) -> DataFrame:
     """sessions with note: the first existing note (by name) of notes (id, note), or null."""
     first = notes.groupBy("id").agg(F.min("note").alias("note"))
     return sessions.join(first, "id", "left")
+
+
+def turn_log_files(spark: SparkSession, root: str) -> DataFrame:
+    """(path, project, name, mtime_ms) of agents' logs under root: luna.jsonl, turn*.jsonl and JSON lines below a .omnis folder.
+
+    All of them, however many; the project is the first folder below root.
+    """
+    found = file_names(spark, root, r"(/luna\.jsonl|turn[^/]*\.jsonl|\.omnis.*\.jsonl)$")
+    files = spark.createDataFrame(found, "path string, mtime_ms bigint")
+    parts = F.split(F.regexp_replace(F.substring_index("path", root.split("://")[-1].rstrip("/") + "/", -1), "^/+", ""), "/")
+    return files.select("path", F.element_at(parts, 1).alias("project"), F.element_at(parts, -1).alias("name"), "mtime_ms")
+
+
+def turn_notes(spark: SparkSession, root: str) -> DataFrame:
+    """(note, body) of each agent's log with something said: a note's name is project__slug of the file, secrets are masked."""
+    from docsieve.functions.text import slugify
+    from docsieve.operators.masking import masked
+
+    files = turn_log_files(spark, root)
+    paths = [r.path for r in files.select("path").collect()]
+    if not paths:
+        return spark.createDataFrame([], "note string, body string")
+    said = turn_logs(spark, paths).where("text <> ''")
+    when = F.when(F.coalesce("ts", F.lit("")) == "", "").otherwise(F.concat(F.lit("("), F.substring("ts", 1, 19), F.lit(")")))
+    line = F.concat(F.lit("**"), F.coalesce("role", F.lit("entry")), F.lit("** "), when, F.lit(": "), F.col("text"))
+    plain = lambda c: F.regexp_replace(c, "^([a-z0-9]+):/+", "$1:/")  # noqa: E731  sources differ in how they write a place
+    files = files.withColumn("path", plain("path"))
+    lines = said.select(plain("file").alias("path"), "line", line.alias("v")).groupBy("path").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "v"))), lambda x: x["v"]), "\n\n").alias("lines"))
+    body = F.concat(F.lit("# "), "project", F.lit(" — "), "name", F.lit("\n\n*Agent turn-log*\n\n---\n\n"), "lines")
+    note = F.concat("project", F.lit("__"), slugify(F.regexp_replace("name", r"\.jsonl$", "")), F.lit(".md"))
+    return files.join(lines, "path").select(note.alias("note"), masked(body).alias("body"))
+
+
+def put_notes(notes: DataFrame, folder: str) -> int:
+    """Writes notes (note, body) that folder lacks or has otherwise, each in one step; how many. Unchanged ones aren't touched.
+
+    Tasks compare; the driver puts what is new in place, one partition of it at a time.
+    """
+    from docsieve.shared import _path, put_file
+
+    spark, root = notes.sparkSession, folder.rstrip("/")
+    fs, at = _path(spark, root)
+    fs.mkdirs(at)
+    there = spark.read.format("binaryFile").option("pathGlobFilter", "*.md").load(root).select(F.element_at(F.split("path", "/"), -1).alias("note"), F.decode("content", "UTF-8").alias("_old"))
+    new, n = notes.join(there, "note", "left").where(~F.col("_old").eqNullSafe(F.col("body"))).select("note", "body"), 0
+    for r in new.toLocalIterator():
+        put_file(spark, f"{root}/{r.note}", r.body)
+        n += 1
+    return n

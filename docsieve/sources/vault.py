@@ -98,6 +98,25 @@ def stale_copies(source: DataFrame, target: DataFrame) -> DataFrame:
     return named.join(target.select("name", F.col("mtime_ms").alias("_m")), "name", "left").where("_m is null or _m < mtime_ms").select("rel", "name")
 
 
+def mirror(spark: SparkSession, source: str, target: str) -> int:
+    """Copies the Markdown files under source that target lacks or has older, secrets masked, folders as __ in the name; how many."""
+    from docsieve.operators.masking import masked
+    from docsieve.shared import _path, put_file
+
+    files = lambda d: spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{md,markdown}").load(d)
+    root, out = source.rstrip("/"), target.rstrip("/")
+    fs, at = _path(spark, out)
+    fs.mkdirs(at)
+    rel = F.regexp_replace(F.substring_index("path", root.split("://")[-1] + "/", -1), "^/+", "")
+    own = files(root).select(rel.alias("rel"), F.unix_millis("modificationTime").alias("mtime_ms"), "content")
+    there = files(out).select(F.element_at(F.split("path", "/"), -1).alias("name"), F.unix_millis("modificationTime").alias("mtime_ms"))
+    todo, n = own.join(stale_copies(own.select("rel", "mtime_ms"), there), "rel").select("name", masked(F.decode("content", "UTF-8")).alias("text")), 0
+    for r in todo.toLocalIterator():
+        put_file(spark, f"{out}/{r.name}", r.text)
+        n += 1
+    return n
+
+
 class Connectors:
     """Factories of connectors by name; a connector has documents() -> DataFrame and healthcheck() -> dict."""
 

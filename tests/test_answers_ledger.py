@@ -7,6 +7,7 @@ from docsieve.functions.canonical import sha256
 from docsieve.operators import citations as c
 from docsieve.operators import consolidate as k
 from docsieve.operators import masking, profiles, vectors
+from docsieve.shared import put_file
 from docsieve.operators.ledger import GENESIS, Ledger, kind_counts, rescan, tail, verify
 from tests.vaults import build
 
@@ -47,12 +48,20 @@ def test_ledger_chain(spark, tmp_path):
     row = verify(led.entries()).first()
     assert (row.ok, row["count"], row.broken_at) == (True, 3, None)
     assert {r.kind: r.n for r in kind_counts(led.entries()).collect()} == {"answer_receipt": 2, "integrity_report": 1} and tail(led.entries()).first().seq == 2
-    lines = (tmp_path / "ledger.jsonl").read_text().splitlines()
+    files = sorted((tmp_path / "ledger.jsonl").glob("*.jsonl"))
+    assert [f.name for f in files] == ["0" * 20 + ".jsonl", "0" * 19 + "1.jsonl"]
+    lines = [x for f in files for x in f.read_text().splitlines()]
+    with pytest.raises(Exception, match="exists"):  # a second writer with the same end in mind
+        put_file(spark, f"{path}/{'0' * 19}1.jsonl", "x", new=True)
+    files[0].rename(tmp_path / "aside")
+    assert verify(led.entries()).first().broken_at == 1  # a segment that is missing shows
+    (tmp_path / "aside").rename(files[0])
+    path = f"file://{tmp_path}/single.jsonl"
 
     def broken(change):
         rows = [json.loads(x) for x in lines]
         change(rows)
-        (tmp_path / "ledger.jsonl").write_text("".join(json.dumps(r) + "\n" for r in rows))
+        (tmp_path / "single.jsonl").write_text("".join(json.dumps(r) + "\n" for r in rows))
         r = verify(Ledger(spark, path).entries()).first()
         return r.ok, r.broken_at, r.reason
 
@@ -60,6 +69,8 @@ def test_ledger_chain(spark, tmp_path):
     assert broken(lambda r: r[2].update(prev_hash="0")) == (False, 2, "prev_hash linkage")
     assert broken(lambda r: r.pop(1)) == (False, 2, "seq out of order")
     assert broken(lambda r: r[0].update(ts="later"))[0] is True
+    more = Ledger(spark, path, now=lambda: "t")
+    assert more.append("answer_receipt", {"n": 4})["seq"] == 3 and verify(more.entries()).first()["count"] == 4 and verify(more.entries()).first().ok
 
 
 def test_rescan_appends_corrections(spark, tmp_path):
@@ -135,7 +146,7 @@ def test_scrub(spark, tmp_path):
     (tmp_path / "a" / "y.md").write_text("nothing")
     count = lambda dry: [(r.files, r.changed) for r in masking.scrub(spark, f"file://{tmp_path}", dry).collect()]
     assert count(True) == [(2, 1)] and "EFGH" in (tmp_path / "a" / "x.md").read_text()
-    assert count(False) and "EFGH" not in (tmp_path / "a" / "x.md").read_text()
+    assert count(False) == [(2, 1)] and "EFGH" not in (tmp_path / "a" / "x.md").read_text()
     assert count(False) == [(2, 0)]
 
 
@@ -171,8 +182,17 @@ def test_hashed_pairs_against_exact_ones(clustered):
     assert sorted(map(tuple, again.collect())) == sorted(map(tuple, found))
     r = vectors.recall(again, vectors.exact_pairs(df, 0.9)).first()
     assert r.precision == 1 and r.recall >= 0.9
-    kept = vectors.VectorIndex.greedy(again, 2)
-    assert max(sum(x in p[:2] for p in kept) for x in range(96)) <= 2
+    for most in (1, 2, 5, 50):
+        used, want = {}, set()
+        for i, j, _ in sorted(((r.i, r.j, r.score) for r in found), key=lambda p: (-p[2], p[0], p[1])):
+            if used.get(i, 0) < most and used.get(j, 0) < most:
+                used[i], used[j] = used.get(i, 0) + 1, used.get(j, 0) + 1
+                want.add((i, j))
+        assert {(r.i, r.j) for r in ix.pairs(df, 0.9, per_item=most).collect()} == want
+    for threshold in (0.5, 0.82, 0.95):
+        true = vectors.exact_pairs(df, threshold)
+        r = vectors.recall(vectors.VectorIndex.for_threshold(64, threshold, 500).pairs(df, threshold), true).first()
+        assert r.recall >= 0.95 and r.precision == 1
     assert (vectors.VectorIndex(64, 12, 12, 8).planes != ix.planes).any()
     top = vectors.top_cosine(df, list(map(float, rows[3])), 5).collect()
     assert [t.vec_id for t in top] == list(np.argsort(-sims[3])[:5])
