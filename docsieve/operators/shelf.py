@@ -93,4 +93,5 @@ def titleized(name):
     """A name's words in capitals, without its extension: a Column of a Column."""
     words = F.regexp_replace(F.regexp_replace(name, "[-_]", " "), r"(?i)\.[a-z]+$", "")
     parts = F.regexp_extract_all(words, F.lit(r"[A-Za-z0-9_]+|[^A-Za-z0-9_]+"), F.lit(0))
-    return F.array_join(F.transform(parts, lambda p: F.concat(F.upper(F.substring(p, 1, 1)), F.substr(p, F.lit(2)))), "")
+    first = lambda p: F.concat(F.upper(F.substring(p, 1, 1)), F.substr(p, F.lit(2)))
+    return F.array_join(F.transform(parts, lambda p: F.when(p.rlike("^[A-Za-z0-9_]"), first(p)).otherwise(p)), "")
