@@ -380,8 +380,7 @@ select fact_id, passage, case when t is null then 'no such passage' when length(
 def fact_verification(spark, d):
     """Benchmark passages as quotes, each from the first document that has it, or from a document that hasn't."""
     docs, bench = table(spark, d, "documents").where("text is not null"), table(spark, d, "benchmark")
-    probe = F.broadcast(bench.select("item_id", F.col("text").alias("quote")))  # a table of fixed size: 200 items at most
-    home = docs.join(probe, F.col("text").contains(F.col("quote"))).groupBy("item_id").agg(F.min("doc_id").alias("p"))
+    home = consolidate.homes(docs, bench.withColumnRenamed("text", "quote")).withColumnRenamed("doc_id", "p")
     other = F.col("item_id") % (docs.agg(F.max("doc_id")).scalar() + 1)
     facts = bench.join(home, "item_id", "left").select(F.col("item_id").alias("fact_id"), F.col("text").alias("quote"), F.coalesce("p", other).alias("passage"))
     return consolidate.verified_column(facts, docs.select(F.col("doc_id").alias("passage"), "text")).select("fact_id", "passage", "reason")

@@ -48,16 +48,42 @@ def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ix.postings_of(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
+#: What an application has built of a folder: queries share it, as they would share an index on disk.
+_BUILT: dict[tuple, object] = {}
+
+
+def _once(spark: SparkSession, sf_dir: str, what: str, build):
+    key = (spark.sparkContext.applicationId, sf_dir, what)
+    if key not in _BUILT:
+        _BUILT[key] = build()
+    return _BUILT[key]
+
+
+def _by_term(post: DataFrame) -> DataFrame:
+    """Written in the order of terms, so that a query's terms prune files and row groups."""
+    return cut(post.repartitionByRange("term").sortWithinPartitions("term"), "postings")
+
+
 def lexical(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Postings, terms and statistics of the bare texts."""
-    post = cut(postings(spark, sf_dir), "postings")
-    terms = post.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    return post, terms, ix.stats_of(table(spark, sf_dir, "documents").select("doc_id"), post, "doc_id")
+    """Postings, terms and statistics of the bare texts, built once an application."""
+
+    def build():
+        post = _by_term(postings(spark, sf_dir))
+        stats = cut(ix.stats_of(table(spark, sf_dir, "documents").select("doc_id"), post, "doc_id"), "stats")
+        return post, cut(post.groupBy("term").agg(F.count(F.lit(1)).alias("df")), "terms"), stats
+
+    return _once(spark, sf_dir, "lexical", build)
 
 
 def index(spark: SparkSession, sf_dir: str) -> ix.Index:
-    """An index whose chunks are the documents, chunk_id being doc_id."""
-    records, names = full_notes(notes(spark, sf_dir))
-    chunks = records.select(F.col("doc_id").alias("chunk_id"), "rel", "title", F.lit("").alias("heading"), F.array().cast("array<string>").alias("heading_path"), "tags", "mtime_ms", "controlled", "text")
-    post = cut(ix.postings_of(chunks.select("chunk_id", F.concat_ws(" ", "title", "heading", "text").alias("t")), "chunk_id", "t"), "postings")
-    return ix.Index(records.withColumn("folder", F.col("source")), chunks, post, post.groupBy("term").agg(F.count(F.lit(1)).alias("df")), ix.stats_of(chunks.select("chunk_id"), post, "chunk_id"), names)
+    """An index whose chunks are the documents, chunk_id being doc_id, built once an application."""
+
+    def build():
+        records, names = full_notes(notes(spark, sf_dir))
+        kept = cut(records.drop("text").withColumn("folder", F.col("source")), "notes")
+        chunks = records.select(F.col("doc_id").alias("chunk_id"), "rel", "title", F.lit("").alias("heading"), F.array().cast("array<string>").alias("heading_path"), "tags", "mtime_ms", "controlled", "text")
+        post = _by_term(ix.postings_of(chunks.select("chunk_id", F.concat_ws(" ", "title", "heading", "text").alias("t")), "chunk_id", "t"))
+        terms = cut(post.groupBy("term").agg(F.count(F.lit(1)).alias("df")), "terms")
+        return ix.Index(kept, chunks, post, terms, cut(ix.stats_of(chunks.select("chunk_id"), post, "chunk_id"), "stats"), names)
+
+    return _once(spark, sf_dir, "index", build)

@@ -115,6 +115,10 @@ def _literal(s: str) -> str:
     return re.sub(r"\\([0-7]{1,3}|.)", lambda m: chr(int(m[1], 8) & 255) if m[1][0] in "01234567" else back.get(m[1], m[1]), s, flags=re.S)
 
 
+#: Bytes that a PDF's stream may unpack to; beyond it the file is given up with a note, never cut.
+LARGEST_STREAM = 256_000_000
+
+
 def pdf(raw: bytes) -> str:
     """Text operators of all content streams, through the ToUnicode maps of their fonts where there are any."""
     objects = {int(n): body for n, body in re.findall(rb"(?<![0-9])([0-9]+)\s+[0-9]+\s+obj(.*?)endobj", raw, re.S)}
@@ -126,7 +130,10 @@ def pdf(raw: bytes) -> str:
         data = m[1]
         if b"FlateDecode" in body[: m.start()]:
             try:
-                data = zlib.decompressobj().decompress(data, 64_000_000)
+                z = zlib.decompressobj()
+                data = z.decompress(data, LARGEST_STREAM)
+                if z.unconsumed_tail:
+                    raise ValueError(f"a stream of more than {LARGEST_STREAM} bytes")
             except zlib.error:
                 return None
         return data.decode("latin-1")

@@ -132,14 +132,28 @@ class Surveillance:
         return ticks.writeStream.foreachBatch(self.cycle).option("checkpointLocation", checkpoint).trigger(processingTime=every).start()
 
 
+#: Rows that are sealed at once.
+SEALED_ROWS = 500
+
+
 def sealed(stream: DataFrame, ledger: Ledger, kind: str, checkpoint: str, columns: list[str]):
-    """Each micro-batch's rows, in the order of columns, are sealed by the one writer; a batch done before isn't sealed again."""
+    """Each micro-batch's rows, in the order of columns, are sealed by the one writer, SEALED_ROWS at a time.
+
+    What of a batch is sealed already, as after a crash, isn't sealed again: the order tells how far it came. The chain is
+    sequential, so rows pass through the driver, a partition of them at a time.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        done = ledger.entries().where(F.col("kind") == kind).where(F.get_json_object("payload", "$.batch") == str(batch_id)).limit(1).count()
-        if not done:
-            rows = [json.loads(r[0]) for r in batch.select(*columns).orderBy(*columns).select(F.to_json(F.struct(*columns))).collect()]
-            ledger.extend([(kind, r | {"batch": batch_id}) for r in rows])
+        done = ledger.entries().where(F.col("kind") == kind).where(F.get_json_object("payload", "$.batch") == str(batch_id)).count()
+        rows = batch.select(*columns).orderBy(*columns).select(F.to_json(F.struct(*columns))).toLocalIterator()
+        held: list[tuple] = []
+        for i, r in enumerate(rows):
+            if i >= done:
+                held.append((kind, json.loads(r[0]) | {"batch": batch_id}))
+            if len(held) >= SEALED_ROWS:
+                ledger.extend(held)
+                held = []
+        ledger.extend(held)
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

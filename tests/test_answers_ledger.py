@@ -219,3 +219,15 @@ def test_similar_notes_and_embedding_store(spark, tmp_path):
         assert [(p.a.rel, p.b.rel) for p in pairs] == [("a.md", "b.md")]
     changed = ix.chunks.withColumn("text", vectors.F.when(vectors.F.col("rel") == "c.md", "soup").otherwise(vectors.F.col("text")))
     assert store.misses(changed).count() == 1
+
+
+def test_homes_of_quotes_against_every_text(spark):
+    import random
+
+    rnd = random.Random(3)
+    word = lambda: rnd.choice(["ab", "cd", "e", "fgh", "", "i\tj", "k\nl"])
+    texts = [(i, " ".join(word() for _ in range(rnd.randrange(60))) if i % 9 else None) for i in range(60)]
+    quotes = [(i, (rnd.choice([t for _, t in texts if t]) + "  ")[(a := rnd.randrange(20)) : a + rnd.randrange(1, 40)]) for i in range(80)] + [(100, "not there at all in any of them"), (101, None)]
+    got = {r.item_id: r.doc_id for r in k.homes(spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(quotes, "item_id long, quote string")).collect()}
+    want = {i: min((d for d, t in texts if t and q in t), default=None) for i, q in quotes if q is not None}
+    assert {i: d for i, d in want.items() if d is not None} == {i: d for i, d in got.items() if i in want and want[i] is not None} and not set(got) - {i for i, d in want.items() if d is not None}
