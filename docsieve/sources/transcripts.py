@@ -67,23 +67,24 @@ def owned(sessions: DataFrame, notes: DataFrame) -> DataFrame:
     return sessions.join(first, "id", "left")
 
 
-def turn_log_files(spark: SparkSession, root: str) -> DataFrame:
-    """(path, project, name, mtime_ms) of agents' logs under root: luna.jsonl, turn*.jsonl and JSON lines below a .omnis folder.
+#: Agents' logs: JSON lines named by turns, or below a folder with a dot. Other names by parameter.
+TURN_LOGS = r"turn[^/]*\.jsonl$|/\.[^/]+/.*\.jsonl$"
 
-    All of them, however many; the project is the first folder below root.
-    """
-    found = file_names(spark, root, r"(/luna\.jsonl|turn[^/]*\.jsonl|\.omnis.*\.jsonl)$")
+
+def turn_log_files(spark: SparkSession, root: str, wanted: str = TURN_LOGS) -> DataFrame:
+    """(path, project, name, mtime_ms) of agents' logs under root, all of them, however many; the project is the first folder below root."""
+    found = file_names(spark, root, wanted)
     files = spark.createDataFrame(found, "path string, mtime_ms bigint")
     parts = F.split(F.regexp_replace(F.substring_index("path", root.split("://")[-1].rstrip("/") + "/", -1), "^/+", ""), "/")
     return files.select("path", F.element_at(parts, 1).alias("project"), F.element_at(parts, -1).alias("name"), "mtime_ms")
 
 
-def turn_notes(spark: SparkSession, root: str) -> DataFrame:
+def turn_notes(spark: SparkSession, root: str, wanted: str = TURN_LOGS) -> DataFrame:
     """(note, body) of each agent's log with something said: a note's name is project__slug of the file, secrets are masked."""
     from docsieve.functions.text import slugify
     from docsieve.operators.masking import masked
 
-    files = turn_log_files(spark, root)
+    files = turn_log_files(spark, root, wanted)
     paths = [r.path for r in files.select("path").collect()]
     if not paths:
         return spark.createDataFrame([], "note string, body string")
