@@ -78,7 +78,8 @@ def mix(docs: DataFrame, weights: tuple = (5, 2, 1), most: int = 3, seed: str =
 
     Only (source, hash, size) is written and summed; the text is read twice and never shuffled, nor is anything sorted by
     document. Reruns agree, as hashes come from the key. Null sources are one source; null or empty texts have size 0; rows
-    with one key are taken alike; an empty table gives none. Names of docs that start with _mix are taken.
+    with one key are taken alike, those with a null key too; an empty table gives none; a very long text is only counted. Names
+    of docs that start with _mix are taken.
     """
     tag = _tags(seed, key, source, text)
     slim = cut(docs.select(*(c.alias(n) for n, c in tag.items())), "sizes")

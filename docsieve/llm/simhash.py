@@ -76,7 +76,8 @@ def near_duplicates(docs: DataFrame, distance: int = 2, width: int = 3, key: str
     """(key, fp, component_id): component_id is the least key that links of fingerprints reach, the row's own included.
 
     Equal fingerprints are one vertex, so exact copies cost nothing more. Rows with a null key take part in links but give
-    no component_id. Empty texts share fingerprint zero. Repeated rows stay repeated; an empty table gives none.
+    no component_id. Empty texts share fingerprint zero. Repeated rows stay repeated; an empty table gives none. A very long
+    text is hashed whole by one worker, 8 bytes a shingle; other columns of docs are left out, whatever their names.
     """
     fps = cut(fingerprints(docs, width, key, text), "fps")
     reps = cut(fps.groupBy("fp").agg(F.min(key).alias("first")), "reps")
