@@ -2,25 +2,46 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docsieve.functions import parse
+from docsieve.shared import file_names
 from docsieve.sources.extract import BINARY, TIMEOUT_MS, extracted
 
 SKIPPED = frozenset("__pycache__ build coverage dist env node_modules out target tmp vendor venv Library".split())
 DOCUMENT = "id string, source string, key string, uri string, title string, body string, metadata map<string,string>, tags array<string>, links array<string>, controlled boolean, authority string, version string, updated_at bigint, content_hash string"
 
 
+def _opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(path, mtime_ms, content), a file at a time."""
+    from pyarrow import fs
+
+    for batch in batches:
+        for i in range(len(batch)):
+            path = batch.column(0)[i].as_py()
+            system, at = fs.FileSystem.from_uri(path if "://" in path else path.replace(":/", ":///", 1))
+            with system.open_input_stream(at) as f:
+                yield pa.RecordBatch.from_arrays([*(c.slice(i, 1) for c in batch.columns), pa.array([f.read()], pa.binary())], ["path", "mtime_ms", "content"])
+
+
 def scan(spark: SparkSession, folder: str, exts: tuple = (".md", ".markdown")) -> DataFrame:
     """(rel, name, ext, mtime_ms, content) of files by extension in any case; hidden and build folders are left out by path.
 
-    Spark's own file listing also skips names that start with an underscore.
+    Spark's own file listing skips names that start with an underscore: those are listed apart and opened by the tasks, on file
+    systems that pyarrow opens by their URI.
     """
     root = folder.rstrip("/")
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "modificationTime", "content")
+    if more := file_names(spark, root, r"/_"):
+        ends = tuple(e.lower() for e in exts)
+        inside = [(p, t) for p, t in more if p.lower().endswith(ends) and "/_" in p[len(p) - len(p.split(root.split("://")[-1], 1)[-1]) :]]
+        if inside:
+            listed = spark.createDataFrame(inside, "path string, mtime_ms bigint").repartition("path")
+            files = files.unionByName(listed.mapInArrow(_opened, "path string, mtime_ms bigint, content binary").select("path", F.timestamp_millis("mtime_ms").alias("modificationTime"), "content"))
     bare = root.split("://")[-1] if "://" in root else root
     rel = F.regexp_replace(F.expr(f"substr(path, instr(path, '{bare}') + {len(bare)} + 1)"), "^/", "")
     rows = files.select(rel.alias("rel"), F.unix_millis("modificationTime").alias("mtime_ms"), "content")

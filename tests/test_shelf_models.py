@@ -111,3 +111,13 @@ def test_texts_read_by_sight_are_kept(spark, tmp_path):
     assert (first["scan.pdf"].text, first["scan.pdf"].ok, first["scan.pdf"].note) == ("seen", True, "ocr: first 20 of 22 pages")
     again = {r.path: r for r in extract.with_cached_ocr(df, cache, lambda raw: 1 / 0).collect()}
     assert again["scan.pdf"].text == "seen" and again["scan.pdf"].note == first["scan.pdf"].note and set(again) == set(first)
+
+
+def test_names_with_an_underscore_are_notes_too(spark, tmp_path):
+    root = tmp_path / "_vault"
+    (root / "_drafts").mkdir(parents=True)
+    (root / "a" / ".hidden").mkdir(parents=True)
+    for name in ("_index.md", "_drafts/one.md", "a/_Two.MD", "a/plain.md", "a/.hidden/_x.md", "a/_image.png"):
+        (root / name).write_text(f"# {name}")
+    got = {r.rel: bytes(r.content).decode() for r in vault.scan(spark, f"file://{root}").collect()}
+    assert got == {n: f"# {n}" for n in ("_index.md", "_drafts/one.md", "a/_Two.MD", "a/plain.md")}
