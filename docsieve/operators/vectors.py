@@ -141,13 +141,23 @@ class VectorIndex:
         """(i, j, score): pairs that share a signature, each once, with their exact cosine from threshold on; see capped() for per_item.
 
         Vectors of zeros have no direction: they are in no bucket, as their cosine is 0, unless the threshold asks for that too.
+        Copies of a vector stand in the buckets as one, so that a large group of them costs no more than its own pairs.
         """
         s = self.signatures(vectors, key, vec)
         s = cut(s.where(F.exists("unit", lambda x: x != 0)) if threshold > 0 else s, "signatures")
-        units = s.where("t = 0").select("id", "unit")
-        near = s.select(F.col("id").alias("i"), "t", "sig").join(s.select(F.col("id").alias("j"), "t", "sig"), ["t", "sig"]).where("i < j").select("i", "j").distinct()
-        both = near.join(units.select(F.col("id").alias("i"), F.col("unit").alias("a")), "i").join(units.select(F.col("id").alias("j"), F.col("unit").alias("b")), "j")
-        found = both.select("i", "j", _dot("a", "b").alias("score")).where(F.col("score") >= threshold)
+        member = s.where("t = 0")
+        units = cut(member.groupBy("unit").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")), "units")
+        copies = cut(member.join(units.where("n > 1"), "unit").select("id", "rep"), "copies")
+        once = s.join(copies.where("id <> rep").select("id"), "id", "left_anti")
+        near = once.select(F.col("id").alias("i"), "t", "sig").join(once.select(F.col("id").alias("j"), "t", "sig"), ["t", "sig"]).where("i < j").select("i", "j").distinct()
+        side = lambda e, v: units.select(F.col("rep").alias(e), F.col("unit").alias(v))
+        found = near.join(side("i", "a"), "i").join(side("j", "b"), "j").select("i", "j", _dot("a", "b").alias("score")).where(F.col("score") >= threshold)
+        if not copies.isEmpty():
+            all_of = lambda e: copies.select(F.col("rep").alias(e), F.col("id").alias(f"{e}_"))
+            found = found.join(all_of("i"), "i", "left").join(all_of("j"), "j", "left").select(F.coalesce("i_", "i").alias("x"), F.coalesce("j_", "j").alias("y"), "score")
+            found = found.select(F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"), "score")
+            alike = copies.join(copies.withColumnRenamed("id", "j"), "rep").where("id < j").join(units.select("rep", "unit"), "rep")
+            found = found.unionByName(alike.select(F.col("id").alias("i"), "j", _dot("unit", "unit").alias("score")).where(F.col("score") >= threshold))
         return capped(found, per_item) if per_item else found
 
 

@@ -231,3 +231,13 @@ def test_homes_of_quotes_against_every_text(spark):
     got = {r.item_id: r.doc_id for r in k.homes(spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(quotes, "item_id long, quote string")).collect()}
     want = {i: min((d for d, t in texts if t and q in t), default=None) for i, q in quotes if q is not None}
     assert {i: d for i, d in want.items() if d is not None} == {i: d for i, d in got.items() if i in want and want[i] is not None} and not set(got) - {i for i, d in want.items() if d is not None}
+
+
+def test_copies_of_vectors_are_paired_as_ever(spark):
+    rnd = np.random.default_rng(9)
+    base = rnd.normal(size=(12, 16))
+    rows = [*base, *base[:4], *base[:4] * 2, *(base[:3] + 0.05), np.zeros(16), np.zeros(16)]
+    df = spark.createDataFrame([(int(i), [float(x) for x in r]) for i, r in zip(rnd.permutation(len(rows)), rows, strict=True)], "vec_id long, embedding array<float>")
+    ix = vectors.VectorIndex(16, 6, 40, 3)
+    found = {(r.i, r.j): round(r.score, 5) for r in ix.pairs(df, 0.8).collect()}
+    assert found == {(r.i, r.j): round(r.sim, 5) for r in vectors.exact_pairs(df, 0.8).collect()} and len(found) > 20
