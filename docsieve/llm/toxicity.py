@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import io
 import unicodedata
 import uuid
 from collections.abc import Iterator
@@ -27,8 +28,8 @@ CALIBRATION_ROWS = 20_000
 WINDOWS = (8, 16, 48)
 #: Expressions up to which their ratios are sent to all tasks, some 16 bytes each; beyond it texts meet theirs in a join.
 SENT_ROWS = 2_000_000
-#: Characters of a chunk of texts in that join.
-CHUNK = 4_000_000
+#: Bytes of a chunk of texts in that join.
+CHUNK = 16_000_000
 #: Characters that are laid out at once, and those that are looked up at once, which caches hold.
 _AT_ONCE, _BLOCK = 2_000_000, 1 << 16
 #: Letters of a task's own alphabet, so that five of them fit a long; distinct expressions that a task gathers before it adds them up.
@@ -340,33 +341,36 @@ def features(rows: DataFrame, ratios: DataFrame) -> DataFrame:
             yield packed(held)
 
     def packed(held: list) -> pa.RecordBatch:
-        whole = pa.Table.from_batches(held).combine_chunks()
-        as_list = lambda c: pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c)
-        return pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().hex]), *(as_list(whole.column(i)) for i in range(whole.num_columns))], ["_chunk", *whole.schema.names])
+        out = io.BytesIO()
+        with pa.ipc.new_stream(out, held[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
+            stream.write_batch(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
+        return pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().int >> 65], pa.int64()), pa.array([out.getvalue()], pa.binary())], ["_chunk", "_rows"])
+
+    def opened(blob: pa.Scalar) -> pa.RecordBatch:
+        return pa.ipc.open_stream(blob.as_buffer()).read_next_batch()
 
     def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(len(batch)):
-                texts = batch.column(1)[i].values
+                texts = opened(batch.column(1)[i]).column(0)
                 part = pa.RecordBatch.from_arrays([texts, pa.nulls(len(texts), pa.int32())], ["_text", "_label"])
-                for out in _count(iter([part])):
-                    yield pa.RecordBatch.from_arrays([pa.array([batch.column(0)[i].as_py()] * len(out)), out.column(0)], ["_chunk", "g"])
+                grams = list(set().union(*(out.column(0).to_pylist() for out in _count(iter([part])))))
+                for at in range(0, len(grams), 100_000):
+                    some = pa.array(grams[at : at + 100_000], pa.string())
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), batch.column(0)[i].as_py(), np.int64)), some], ["_chunk", "g"])
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names = batch.schema.names[1:-1]
             for i in range(len(batch)):
-                pairs = batch.column(len(names) + 1)[i].values
+                pairs = batch.column(1)[i].values
                 lookup = Lookup(pairs.field("g").to_pylist(), pairs.field("r").to_numpy(zero_copy_only=False))
-                part = pa.RecordBatch.from_arrays([batch.column(1 + j)[i].values for j in range(len(names))], names)
-                for one in _slices(iter([part])):
+                for one in _slices(iter([opened(batch.column(0)[i])])):
                     yield _scored_by(lookup, one)
 
-    lists = ", ".join(f"`{f.name}` array<{f.dataType.simpleString()}>" for f in rows.schema.fields)
-    texts = cut(rows.mapInArrow(chunks, f"_chunk string, {lists}"), "chunks")
-    need = texts.select("_chunk", "_text").mapInArrow(named, "_chunk string, g string").distinct()
-    own = need.join(ratios, "g").groupBy("_chunk").agg(F.collect_list(F.struct("g", "r")).alias("_ratios"))
-    return texts.join(own, "_chunk").select(*texts.columns, "_ratios").mapInArrow(joined, f"{kinds}, _x array<double>")
+    texts = cut(rows.mapInArrow(chunks, "_chunk bigint, _rows binary"), "chunks")
+    need = texts.mapInArrow(named, "_chunk bigint, g string")
+    own = need.join(ratios.select("g", F.col("r").cast("float").alias("r")), "g").groupBy("_chunk").agg(F.collect_list(F.struct("g", "r")).alias("_ratios"))
+    return texts.join(own, "_chunk").select("_rows", "_ratios").mapInArrow(joined, f"{kinds}, _x array<double>")
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", key: str = "doc_id", text: str = "text") -> Model:
