@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docsieve.llm.labelled import fold, with_label
-from docsieve.shared import cut
+from docsieve.shared import cut, cut_in_buckets
 
 #: Characters of an expression.
 ORDER = 5
@@ -26,8 +26,8 @@ ALPHABET = 4096
 CALIBRATION_ROWS = 20_000
 #: Characters over which the ratio is averaged: the worst stretch of each length counts beside the whole text's mean.
 WINDOWS = (8, 16, 48)
-#: Expressions up to which their ratios are sent to all tasks, some 16 bytes each; beyond it texts meet theirs in a join.
-SENT_ROWS = 2_000_000
+#: Expressions up to which their ratios are sent to all tasks, some 20 bytes each; beyond it texts meet theirs in a join.
+SENT_ROWS = 8_000_000
 #: Bytes of a chunk of texts in that join.
 CHUNK = 16_000_000
 #: Characters that are laid out at once, and those that are looked up at once, which caches hold.
@@ -249,17 +249,24 @@ class Model:
         return 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), z))))
 
 
+def _offset(strings: pa.Array, i: int) -> int:
+    """Where the i-th string starts in the bytes of an array of strings."""
+    wide = pa.types.is_large_string(strings.type)
+    return int(np.frombuffer(strings.buffers()[1], np.int64 if wide else np.int32)[strings.offset + i])
+
+
 class Lookup:
     """Ratios by expression: keys of 64 bits in order, none twice, and where those with each beginning start."""
 
-    def __init__(self, grams: list[str], ratios: np.ndarray):
-        codes = np.frombuffer("".join(grams).encode("utf-32-le"), np.uint32).reshape(-1, ORDER)
+    def __init__(self, grams: pa.Array, ratios: np.ndarray):
+        whole = b"".join(p.buffers()[2].to_pybytes()[_offset(p, 0) : _offset(p, len(p))] for p in (grams.chunks if isinstance(grams, pa.ChunkedArray) else [grams]) if len(p))
+        codes = np.frombuffer(whole.decode().encode("utf-32-le"), np.uint32).reshape(-1, ORDER)
         keys = self.keys(codes)
         order = np.argsort(keys, kind="stable")
         self.sorted, self.ratios = np.append(keys[order], np.uint64(2**64 - 1)), np.append(np.asarray(ratios, np.float32)[order], np.float32(0))
-        if len(grams) and (self.sorted[1:-1] == self.sorted[:-2]).any():
+        if len(codes) and (self.sorted[1:-1] == self.sorted[:-2]).any():
             raise ValueError("two expressions have one key")
-        self.shift = np.uint64(64 - max(8, int(len(grams) + 1).bit_length() + 1))
+        self.shift = np.uint64(64 - max(8, int(len(codes) + 1).bit_length() + 1))
         self.first = np.searchsorted(self.sorted[:-1], np.arange(1 << int(64 - int(self.shift)), dtype=np.uint64) << self.shift).astype(np.int32)
 
     @staticmethod
@@ -314,14 +321,14 @@ def _scored_by(lookup: Lookup, batch: pa.RecordBatch) -> pa.RecordBatch:
 def features(rows: DataFrame, ratios: DataFrame) -> DataFrame:
     """rows with _x, the features, in place of _text, the first column. ratios (g, r) has every expression of the texts.
 
-    Up to SENT_ROWS expressions are sent to all tasks. Beyond it texts are written in chunks; each chunk's distinct
-    expressions are joined to their ratios, and each chunk to its own.
+    Up to SENT_ROWS expressions are sent to all tasks. Beyond it texts are written in chunks, in buckets by chunk; each
+    chunk's distinct expressions are joined to their ratios, which then move to the chunks: texts don't move.
     """
     rest = rows.drop("_text")
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest.schema.fields)
     if ratios.limit(SENT_ROWS + 1).count() <= SENT_ROWS:
         got = ratios.select("g", "r").toArrow()
-        shared = rows.sparkSession.sparkContext.broadcast(Lookup(got["g"].to_pylist(), got["r"].to_numpy()))
+        shared = rows.sparkSession.sparkContext.broadcast(Lookup(got["g"], got["r"].to_numpy()))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in _slices(batches):
@@ -363,11 +370,11 @@ def features(rows: DataFrame, ratios: DataFrame) -> DataFrame:
         for batch in batches:
             for i in range(len(batch)):
                 pairs = batch.column(1)[i].values
-                lookup = Lookup(pairs.field("g").to_pylist(), pairs.field("r").to_numpy(zero_copy_only=False))
+                lookup = Lookup(pairs.field("g"), pairs.field("r").to_numpy(zero_copy_only=False))
                 for one in _slices(iter([opened(batch.column(0)[i])])):
                     yield _scored_by(lookup, one)
 
-    texts = cut(rows.mapInArrow(chunks, "_chunk bigint, _rows binary"), "chunks")
+    texts = cut_in_buckets(rows.mapInArrow(chunks, "_chunk bigint, _rows binary"), "_chunk", "chunks")
     need = texts.mapInArrow(named, "_chunk bigint, g string")
     own = need.join(ratios.select("g", F.col("r").cast("float").alias("r")), "g").groupBy("_chunk").agg(F.collect_list(F.struct("g", "r")).alias("_ratios"))
     return texts.join(own, "_chunk").select("_rows", "_ratios").mapInArrow(joined, f"{kinds}, _x array<double>")
