@@ -77,6 +77,18 @@ def cut(df: DataFrame, label: str, path: str | None = None) -> DataFrame:
     return out
 
 
+def cut_in_buckets(df: DataFrame, by: str, label: str) -> DataFrame:
+    """cut(), with rows in as many buckets by a column as a shuffle has partitions, so that a join on it moves the other side only."""
+    spark, name = df.sparkSession, f"docsieve_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{label}"
+    df.write.mode("overwrite").bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), by).option("path", path).saveAsTable(name)
+    fs, at = _path(spark, path)
+    fs.deleteOnExit(at)
+    out = spark.table(name)
+    out._docsieve_path = path
+    return out
+
+
 def discard(df: DataFrame | None) -> None:
     """Deletes the files of a table that cut() wrote and that no later plan reads."""
     if df is not None and (path := getattr(df, "_docsieve_path", None)):
