@@ -29,7 +29,7 @@ WINDOWS = (8, 16, 48)
 #: Expressions up to which their ratios are sent to all tasks, some 20 bytes each; beyond it texts meet theirs in a join.
 SENT_ROWS = 8_000_000
 #: Bytes of a chunk of texts in that join.
-CHUNK = 32_000_000
+CHUNK = 16_000_000
 #: Characters that are laid out at once, and those that are looked up at once, which caches hold.
 _AT_ONCE, _BLOCK = 2_000_000, 1 << 16
 #: Letters of a task's own alphabet, so that five of them fit a long; distinct expressions that a task gathers before it adds them up.
