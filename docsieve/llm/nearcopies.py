@@ -1,4 +1,7 @@
-"""Near copies: texts whose sets of 5-word shingles have a Jaccard similarity of 0.8 at least; minhash bands, exact check, components."""
+"""Near copies: texts whose sets of 5-word shingles have a Jaccard similarity of 0.8 at least.
+
+Candidates meet by SimHash ball hashing, and in minhash bands where their fingerprints are farther apart; exact check, components.
+"""
 
 from __future__ import annotations
 
@@ -10,10 +13,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docsieve.llm import simhash
 from docsieve.operators.components import connected_components
 from docsieve.shared import cut, discard, sized_join
 
 WIDTH, LEAST = 5, 0.8
+#: Differing bits of SimHash fingerprints (op7's) up to which ball hashing finds every pair.
+DISTANCE = 5
 #: Two at 0.8 share a band but for one in 10,000: 1 - (1 - 0.8^6)^30.
 BANDS, ROWS = 30, 6
 #: Shingles that are mixed at once; rows whose sets a worker holds.
@@ -79,20 +85,22 @@ def _near(a: str, b: str, least: float) -> str:
 
 
 def _signed(rows: DataFrame, text: str) -> DataFrame:
-    """(_ROW, v, n, bands, _MAP) of each row."""
+    """(_ROW, v, n, fp, bands, _MAP) of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, len(batch), _ROWS):
                 part = batch.slice(at, _ROWS)
-                sets = [shingles(x.as_py() or b"") for x in part.column(3)]
+                raws = [x.as_py() or b"" for x in part.column(3)]
+                sets = [shingles(x) for x in raws]
+                fps = np.array([simhash.fingerprint(x) for x in raws], np.uint64).view(np.int64)
                 v = np.array([vertex(x) for x in sets], np.uint64).view(np.int64)
                 keys = [bands(x).view(np.int64) for x in sets]
-                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(v), pa.array([len(x) for x in sets], pa.int32()), pa.array(keys, pa.list_(pa.int64())), *map(pa.array, np.stack([parity(x) for x in sets], axis=1))], [*_ROW, "v", "n", "bands", *_MAP])
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(v), pa.array([len(x) for x in sets], pa.int32()), pa.array(fps), pa.array(keys, pa.list_(pa.int64())), *map(pa.array, np.stack([parity(x) for x in sets], axis=1))], [*_ROW, "v", "n", "fp", "bands", *_MAP])
 
     kept = rows.select(*_ROW, F.col(text).cast("string").cast("binary").alias("_raw"))
     own = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept.schema.fields[:3])
-    return kept.mapInArrow(run, f"{own}, v bigint, n int, bands array<bigint>, {', '.join(f'{m} bigint' for m in _MAP)}")
+    return kept.mapInArrow(run, f"{own}, v bigint, n int, fp bigint, bands array<bigint>, {', '.join(f'{m} bigint' for m in _MAP)}")
 
 
 def _sets(rows: DataFrame, text: str) -> DataFrame:
@@ -152,13 +160,16 @@ def links(buckets: DataFrame, maps: DataFrame, reps: DataFrame, text: str = "tex
 def survivors(docs: DataFrame, key: str = "doc_id", text: str = "text", least: float = LEAST) -> DataFrame:
     """docs with one row of each group of near copies: the least key (null after all), of equal keys the least hash of the text.
 
+    Pairs at DISTANCE or fewer bits of their fingerprints meet in ball hashing; similar ones whose fingerprints are farther
+    apart meet in minhash bands, but for one in 10,000 at 0.8. All that meet are judged by exact Jaccard, not by their bits.
     Rows are told apart by key and text, null keys included, so of repeated rows one stays, and a row never goes with a
     namesake. Keys may be of any type that has an order. Empty and null texts are one group. A very long text's shingles are
     held by one worker. An empty table gives none. Names of docs that start with _near_ are taken.
     """
     named = _named(docs, key, text)
     signed = cut(_signed(named, text), "signed")
-    buckets = cut(signed.select("v", F.explode("bands").alias("k")).distinct(), "buckets")
+    balls = simhash.meetings(cut(signed.select("v", "fp").distinct(), "prints"), DISTANCE)
+    buckets = cut(balls.unionByName(signed.select("v", F.explode("bands").alias("k"))).distinct(), "buckets")
     maps = signed.select("v", "n", *_MAP).dropDuplicates(["v"])
     keys = cut(signed.groupBy(*_ROW, "v").agg(F.count(F.lit(1)).alias("rows")), "keys")
     place = F.struct(*_ROW)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from docsieve.operators.components import connected_components
-from docsieve.shared import cut
+from docsieve.shared import cut, sized_join
 
 #: Shingles whose bits are counted at once.
 _BLOCK = 1 << 16
@@ -72,6 +72,32 @@ def links(reps: DataFrame, distance: int = 2) -> DataFrame:
     return found.where(F.expr(f"bit_count(a ^ b) <= {distance}"))
 
 
+def _block_balls(fp: str, distance: int) -> str:
+    """SQL for an array of keys that two fingerprints at distance or fewer bits share one of.
+
+    The bits stand in blocks, one for each three of distance; in one of them two such differ by two bits at most, so the balls
+    of one bit around that block's value meet. A key is a value and its block's number.
+    """
+    n, balls = distance // 3 + 1, []
+    for i in range(n):
+        low, width = 64 * i // n, 64 * (i + 1) // n - 64 * i // n
+        value = f"(shiftrightunsigned({fp}, {low}) & {(1 << width) - 1 if n > 1 else -1}L)"
+        ball = f"concat(array({value}), transform(sequence(0, {width - 1}), i -> {value} ^ shiftleft(1L, i)))"
+        balls.append(f"transform({ball}, x -> x | {i << width}L)")
+    return f"concat({', '.join(balls)})"
+
+
+def meetings(prints: DataFrame, distance: int) -> DataFrame:
+    """(v, k): each key k that balls of two rows of prints (v, fp) share, with all that share it.
+
+    Any two at distance or fewer bits meet in a key at least, and some that are farther apart do. Keys are as long as a block:
+    up to a distance of 5, 32 bits or more, so that few meet by chance.
+    """
+    balls = prints.select("v", F.expr(f"explode({_block_balls('fp', distance)})").alias("k"))
+    met = cut(balls.groupBy("k").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("k"), "met")
+    return sized_join(balls, met, "k", "left_semi")
+
+
 def near_duplicates(docs: DataFrame, distance: int = 2, width: int = 3, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, fp, component_id): component_id is the least key that links of fingerprints reach, the row's own included.
 

@@ -216,3 +216,34 @@ def test_near_copies_of_the_stage_against_all_pairs(spark, docs):
     got = nearcopies.survivors(docs(rows)).collect()
     assert sorted(-1 if r.doc_id is None else r.doc_id for r in got) == expected and len(groups) < len(rows) - 24
     assert ("two texts of it" in {r.text for r in got}) and nearcopies.survivors(docs([])).count() == 0
+
+
+def test_near_copies_that_no_band_joins_meet_by_ball_hashing(docs):
+    from docsieve.llm import nearcopies
+
+    rows = []
+    for seed in (17357, 65216, 110525, 130841):
+        rnd = random.Random(seed)
+        words = [f"w{rnd.randrange(5000)}" for _ in range(13)]
+        rows += [(seed, " ".join(words)), (seed + 1, " ".join([*words[:-1], "other"])), (seed + 2, " ".join(words[::-1]))]
+        a, b = (nearcopies.shingles(t.encode()) for _, t in rows[-3:-1])
+        assert len(set(a) & set(b)) / len(set(a) | set(b)) == 0.8 and not (nearcopies.bands(a) == nearcopies.bands(b)).any()
+    assert sorted(r.doc_id for r in nearcopies.survivors(docs(rows)).collect()) == sorted(i for n, (i, _) in enumerate(rows) if n % 3 != 1)
+
+
+def test_balls_of_blocks_meet_at_every_distance(spark):
+    rnd = random.Random(8)
+    fps = {}
+    for i in range(200):
+        fps[3 * i] = rnd.getrandbits(64)
+        for n, bits in enumerate((rnd.randrange(9), 63)):
+            fps[3 * i + 1 + n] = fps[3 * i] ^ sum(1 << x for x in rnd.sample(range(64), bits))
+    prints = spark.createDataFrame([(v, f - 2**64 if f >= 2**63 else f) for v, f in fps.items()], "v long, fp long")
+    for distance in (0, 1, 2, 3, 4, 5, 6, 8):
+        buckets = defaultdict(set)
+        for r in simhash.meetings(prints, distance).collect():
+            buckets[r.k].add(r.v)
+        assert all(len(b) > 1 for b in buckets.values())
+        met = {(a, b) for x in buckets.values() for a in x for b in x if a < b}
+        near = {(a, b) for a in fps for b in fps if a < b and (fps[a] ^ fps[b]).bit_count() <= distance}
+        assert near <= met and (distance == 0 or len(near) > 10)
