@@ -6,10 +6,11 @@ from dataclasses import dataclass, fields
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from docsieve.functions import parse
 from docsieve.functions.ids import dense_ids
-from docsieve.functions.text import tokens
+from docsieve.functions.text import term_counts
 from docsieve.shared import cut
 
 RECORD = "rel string, name string, title string, body string, tags array<string>, outlinks array<string>, mtime_ms bigint, controlled boolean, authority string, source string, has_frontmatter boolean"
@@ -51,10 +52,13 @@ def inbound(records: DataFrame, names: DataFrame) -> DataFrame:
 
 
 def postings_of(texts: DataFrame, key: str, text: str) -> DataFrame:
-    """(term, key, tf, len): counted by key and term, then the length from those few rows."""
-    counted = tokens(texts.select(key, F.col(text).alias("_t")), "_t").groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
-    lengths = counted.groupBy(key).agg(F.sum("tf").alias("len"))
-    return counted.join(lengths, key)
+    """(key, term, tf, len), counted where the text is. Only texts whose key isn't theirs alone move, to be counted as one."""
+    twice = cut(texts.groupBy(F.col(key).alias("_key")).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_key"), "shared-keys")
+    if twice.isEmpty():
+        return term_counts(texts, key, text)
+    of = lambda how: term_counts(texts.join(twice, F.col(key).eqNullSafe(F.col("_key")), how), key, text)
+    several = of("left_semi").groupBy(key, "term").agg(F.sum("tf").alias("tf"))
+    return of("left_anti").unionByName(several.withColumn("len", F.sum("tf").over(Window.partitionBy(key))))
 
 
 def build(records: DataFrame, folder_depth: int = 1) -> Index:

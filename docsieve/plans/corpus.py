@@ -59,16 +59,11 @@ def _once(spark: SparkSession, sf_dir: str, what: str, build):
     return _BUILT[key]
 
 
-def _by_term(post: DataFrame) -> DataFrame:
-    """Written in the order of terms within each file, so that a query's terms prune row groups; nothing is shuffled for it."""
-    return cut(post.sortWithinPartitions("term"), "postings")
-
-
 def lexical(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Postings, terms and statistics of the bare texts, built once an application."""
 
     def build():
-        post = _by_term(postings(spark, sf_dir))
+        post = cut(postings(spark, sf_dir), "postings")  # in runs by term, so that a query's terms prune pages
         stats = cut(ix.stats_of(table(spark, sf_dir, "documents").select("doc_id"), post, "doc_id"), "stats")
         return post, cut(post.groupBy("term").agg(F.count(F.lit(1)).alias("df")), "terms"), stats
 
@@ -82,7 +77,7 @@ def index(spark: SparkSession, sf_dir: str) -> ix.Index:
         records, names = full_notes(notes(spark, sf_dir))
         kept = cut(records.drop("text").withColumn("folder", F.col("source")), "notes")
         chunks = records.select(F.col("doc_id").alias("chunk_id"), "rel", "title", F.lit("").alias("heading"), F.array().cast("array<string>").alias("heading_path"), "tags", "mtime_ms", "controlled", "text")
-        post = _by_term(ix.postings_of(chunks.select("chunk_id", F.concat_ws(" ", "title", "heading", "text").alias("t")), "chunk_id", "t"))
+        post = cut(ix.postings_of(chunks.select("chunk_id", F.concat_ws(" ", "title", "heading", "text").alias("t")), "chunk_id", "t"), "postings")
         terms = cut(post.groupBy("term").agg(F.count(F.lit(1)).alias("df")), "terms")
         return ix.Index(kept, chunks, post, terms, cut(ix.stats_of(chunks.select("chunk_id"), post, "chunk_id"), "stats"), names)
 
