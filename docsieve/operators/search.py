@@ -63,10 +63,10 @@ def boosted(query: str, words: list[str], now_ms: int | None) -> Column:
 def ranked(index: Index, query: str, semantic: DataFrame | None = None, now_ms: int | None = None) -> DataFrame:
     """(chunk_id, rel, score, first, m, mi, sem): before the cap by note. semantic: (chunk_id, sem), a cosine for every chunk."""
     words = list(dict.fromkeys(tokenize(query))) or [""]
-    meta = index.chunks.select("chunk_id", "rel", "title", "heading", "tags", "mtime_ms", "text").join(index.notes.select("rel", "inbound"), "rel")
+    meta = index.chunks.select("chunk_id", "rel", "title", "heading", "tags", "mtime_ms").join(index.notes.select("rel", "inbound"), "rel")
     found = lexical(index.postings, index.terms, index.stats, words)
     rows = meta.join(found, "chunk_id", "left" if semantic is not None else "inner")
-    rows = rows.fillna({"bm": 0.0, "m": 0, "mi": 0.0}).withColumn("bm", F.col("bm") * boosted(query, words, now_ms))
+    rows = rows.fillna({"bm": 0.0, "m": 0, "mi": 0.0}).withColumn("bm", F.col("bm") * boosted(query, words, now_ms)).select("chunk_id", "rel", "bm", "m", "mi")
     if semantic is not None:
         rows = rows.join(semantic, "chunk_id").withColumn("sem", F.greatest("sem", F.lit(0.0)))
         most = rows.agg(F.max("bm")).scalar()
@@ -75,8 +75,8 @@ def ranked(index: Index, query: str, semantic: DataFrame | None = None, now_ms:
         rows = rows.withColumn("sem", F.lit(None).cast("double")).withColumn("first", F.col("bm"))
     if pairs := phrases(query):
         edge = rows.select("first", "chunk_id").orderBy(F.desc("first"), "chunk_id").limit(PHRASE_TOP)
-        top = F.broadcast(edge.select("chunk_id", F.lit(True).alias("near")))  # PHRASE_TOP rows at most
-        rows = rows.join(top, "chunk_id", "left").withColumn("score", F.col("first") * F.when(F.col("near"), phrase_boost(F.col("text"), pairs)).otherwise(1.0))
+        top = index.chunks.select("chunk_id", phrase_boost(F.col("text"), pairs).alias("boost")).join(F.broadcast(edge.select("chunk_id")), "chunk_id", "left_semi")  # PHRASE_TOP rows at most
+        rows = rows.join(F.broadcast(top), "chunk_id", "left").withColumn("score", F.col("first") * F.coalesce("boost", F.lit(1.0)))
     else:
         rows = rows.withColumn("score", F.col("first"))
     return rows.select("chunk_id", "rel", "score", "first", "m", "mi", "sem")

@@ -74,9 +74,10 @@ def index(spark: SparkSession, sf_dir: str) -> ix.Index:
     """An index whose chunks are the documents, chunk_id being doc_id, built once an application."""
 
     def build():
-        records, names = full_notes(notes(spark, sf_dir))
-        kept = cut(records.drop("text").withColumn("folder", F.col("source")), "notes")
-        chunks = records.select(F.col("doc_id").alias("chunk_id"), "rel", "title", F.lit("").alias("heading"), F.array().cast("array<string>").alias("heading_path"), "tags", "mtime_ms", "controlled", "text")
+        texts = notes(spark, sf_dir)
+        records, names = full_notes(texts.drop("text"))  # links are counted without the texts, which never move
+        kept = cut(records.withColumn("folder", F.col("source")), "notes")
+        chunks = texts.select(F.col("doc_id").alias("chunk_id"), "rel", "title", F.lit("").alias("heading"), F.array().cast("array<string>").alias("heading_path"), "tags", "mtime_ms", "controlled", "text")
         post = cut(ix.postings_of(chunks.select("chunk_id", F.concat_ws(" ", "title", "heading", "text").alias("t")), "chunk_id", "t"), "postings")
         terms = cut(post.groupBy("term").agg(F.count(F.lit(1)).alias("df")), "terms")
         return ix.Index(kept, chunks, post, terms, cut(ix.stats_of(chunks.select("chunk_id"), post, "chunk_id"), "stats"), names)
