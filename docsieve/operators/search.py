@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 
 from docsieve.functions.text import rounded, snippet, tokenize
 from docsieve.operators.index import Index
+from docsieve.shared import cut
 
 K1, B = 1.5, 0.75
 SEM_WEIGHT, SEM_LEAST, SEM_GATE, GATE = 0.45, 0.5, 0.49, 0.28
@@ -68,7 +69,7 @@ def ranked(index: Index, query: str, semantic: DataFrame | None = None, now_ms:
     rows = meta.join(found, "chunk_id", "left" if semantic is not None else "inner")
     rows = rows.fillna({"bm": 0.0, "m": 0, "mi": 0.0}).withColumn("bm", F.col("bm") * boosted(query, words, now_ms)).select("chunk_id", "rel", "bm", "m", "mi")
     if semantic is not None:
-        rows = rows.join(semantic, "chunk_id").withColumn("sem", F.greatest("sem", F.lit(0.0)))
+        rows = cut(rows.join(semantic, "chunk_id").withColumn("sem", F.greatest("sem", F.lit(0.0))), "blended")  # all chunks, as a few numbers each: the best and the ranking read it
         most = rows.agg(F.max("bm")).scalar()
         rows = rows.withColumn("first", (1 - SEM_WEIGHT) * F.when(most > 0, F.col("bm") / most).otherwise(0.0) + SEM_WEIGHT * F.col("sem")).where((F.col("m") > 0) | (F.col("sem") >= SEM_LEAST))
     else:

@@ -15,3 +15,9 @@ def test_texts_of_an_index_never_move(spark):
     assert "Join" not in plan(index.chunks)
     found = search.ranked(index, "the license version of apache")
     assert search.phrases("the license version of apache") and found.count() == search.lexical(index.postings, index.terms, index.stats, tokenize("license version apache")).count()
+
+
+def test_a_blend_is_computed_once(spark):
+    index = corpus.index(spark, SF)
+    blend = search.ranked(index, "edoution", index.chunks.select("chunk_id", F.lit(0.6).alias("sem")))
+    assert "Join" not in plan(blend) and blend.count() == index.chunks.count()
